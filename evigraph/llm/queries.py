@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, toxicity, warc
 from .common import table
 from .packing import pack
 from .repetition import judge
@@ -28,13 +30,38 @@ def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op5_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return got.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "response.refers_to")
+
+
+def op8_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.where("leaked")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT page_id, h, n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op7_interleaved_shards)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op5_transactions, op7_interleaved_shards, op8_bm25_decontamination, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_transactions": OP5}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import mixed, passes
 
 #: Largest share of a text's word characters inside repeated n-grams, by n, and inside repeated lines.
-NGRAM_SHARE = {5: 0.15, 8: 0.12, 10: 0.10}
+NGRAM_SHARE = {5: 0.25, 8: 0.22, 10: 0.20}
 LINE_SHARE = 0.20
 BASE_WINDOW = 8
 WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
