@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, toxicity, warc
+from . import decontamination, line_dedup, toxicity, warc
 from .common import table
 from .packing import pack
 from .repetition import judge
@@ -49,6 +49,11 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 OP5 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 m AS (SELECT page_id, h, n, max(page_id) OVER (PARTITION BY h) AS last FROM p)
@@ -60,7 +65,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op5_transactions, op7_interleaved_shards, op8_bm25_decontamination, op9_toxicity)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op5_transactions, op7_interleaved_shards, op8_bm25_decontamination, op9_toxicity, op10_fuzzy_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
