@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, toxicity, warc
+from . import decontamination, jaccard_join, line_dedup, substring_dedup, toxicity, warc
 from .common import table
 from .packing import pack
 from .repetition import judge
@@ -49,6 +49,14 @@ def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "text", "n_lines", "n_dropped")
@@ -65,7 +73,7 @@ FROM m
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op5_transactions, op7_interleaved_shards, op8_bm25_decontamination, op9_toxicity, op10_fuzzy_lines)}
+    return {f.__name__: f for f in (op1_hilbert_packing, op2_token_counts, op3_repetition, op4_collinear_passages, op5_transactions, op6_chosen_path_join, op7_interleaved_shards, op8_bm25_decontamination, op9_toxicity, op10_fuzzy_lines)}
 
 
 def oracle_sql() -> dict[str, str]:
