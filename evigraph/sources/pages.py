@@ -1,0 +1,148 @@
+"""H2, H4, H8: HTML to title, meta and article text with the standard library's parser, in Arrow batches."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Elements whose text is left out, and those that stand on lines of their own (fixed values).
+DROPPED = {"script", "style", "nav", "footer", "header", "button", "form", "aside", "noscript"}
+BLOCKS = {"address", "article", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "li", "main", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+LEAST_ARTICLE = 120
+
+
+class Reader(HTMLParser):
+    """Collects the title, meta contents, JSON-LD texts, the first time and the text inside articles and of the whole page."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[str] = []
+        self.dropped = self.article = self.pre = 0
+        self.title, self.h1, self.time = "", "", None
+        self.meta: dict[str, str] = {}
+        self.ld: list[str] = []
+        self.text: dict[str, list[str]] = {"page": [], "article": []}
+
+    def handle_starttag(self, tag, attrs):  # type: ignore[no-untyped-def]
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta" and a.get("content"):
+            for key in ("property", "name"):
+                if a.get(key):
+                    self.meta.setdefault(a[key].lower(), a["content"].strip())
+        if tag == "time" and self.time is None:
+            self.time = a.get("datetime")
+        if tag in BLOCKS:
+            self._put("\n")
+        if tag in VOID:
+            return
+        inside = tag in ("article", "main") or a.get("itemprop") == "articleBody"
+        kind = "ld" if tag == "script" and a.get("type") == "application/ld+json" else "article" if inside else tag
+        if kind == "ld":
+            self.ld.append("")
+        self.stack.append(f"{tag} {kind}")
+        self.dropped += tag in DROPPED
+        self.article += inside
+        self.pre += tag == "pre"
+
+    def handle_endtag(self, tag):  # type: ignore[no-untyped-def]
+        if tag in BLOCKS:
+            self._put("\n")
+        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].startswith(f"{tag} ")), None)
+        if at is None:
+            return
+        for item in self.stack[at:]:
+            name, kind = item.split(" ")
+            self.dropped -= name in DROPPED
+            self.article -= kind == "article"
+            self.pre -= name == "pre"
+        del self.stack[at:]
+
+    def handle_data(self, data):  # type: ignore[no-untyped-def]
+        top = self.stack[-1] if self.stack else ""
+        if top == "script ld":
+            self.ld[-1] += data
+        if top == "title title":
+            self.title += data
+        if top == "h1 h1":
+            self.h1 += data
+        if not self.dropped and not top.startswith("title "):
+            self._put(data if self.pre else re.sub(r"\s+", " ", data))
+
+    def _put(self, text: str) -> None:
+        if not self.dropped:
+            self.text["page"].append(text)
+            if self.article:
+                self.text["article"].append(text)
+
+
+def clean(parts: list[str]) -> str:
+    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in "".join(parts).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def json_ld(texts: list[str]) -> list[dict]:
+    """H5: objects of all blocks, lists and graphs flattened; bad JSON is skipped."""
+    found: list[dict] = []
+    todo: list = []
+    for t in texts:
+        try:
+            todo.append(json.loads(t[:2_000_000]))
+        except ValueError:
+            continue
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, list):
+            todo[:0] = x
+        elif isinstance(x, dict):
+            found.append(x)
+            todo[:0] = x.get("@graph", []) if isinstance(x.get("@graph"), list) else []
+    return found
+
+
+def author(value) -> str | None:  # type: ignore[no-untyped-def]
+    """H6."""
+    if isinstance(value, dict):
+        value = value.get("name")
+    if isinstance(value, list):
+        value = ", ".join(n for x in value if (n := author(x)))
+    return value.strip() or None if isinstance(value, str) else None
+
+
+def article(html: str) -> dict[str, str | None]:
+    r = Reader()
+    r.feed(html)
+    r.close()
+    ld = next((x for x in json_ld(r.ld) if x.get("headline") or x.get("articleBody")), {})
+    body = clean(r.text["article"]) or clean([str(ld.get("articleBody") or "")])
+    title = ld.get("headline") or r.meta.get("og:title") or r.meta.get("twitter:title") or r.h1.strip() or r.title.strip()
+    return {
+        "title": str(title) or None,
+        "author": author(ld.get("author")) or r.meta.get("article:author") or r.meta.get("author"),
+        "published_raw": ld.get("datePublished") or r.meta.get("article:published_time") or r.time,
+        "page_title": r.title.strip() or None,
+        "page_text": clean(r.text["page"]),
+        "body": body,
+        "reason": "empty_content" if len(body) < LEAST_ARTICLE else None,
+    }
+
+
+FIELDS = ("title", "author", "published_raw", "page_title", "page_text", "body", "reason")
+
+
+def articles(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """A row per page with the fields of its article; `reason` says why a page has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [article(x or "") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[f] for g in got], pa.string()) for f in FIELDS)], [id_col, *FIELDS])
+
+    rows = pages.select(F.col(id_col).cast("long").alias(id_col), html_col)
+    return rows.mapInArrow(run, f"{id_col} long, " + ", ".join(f"{f} string" for f in FIELDS))
