@@ -30,7 +30,7 @@ from .components import components
 GRAM, SIMILARITY = 5, 0.8
 HASHES, RUNS = 128, 8
 #: Depth to which every run splits at once, depth to which large nodes are split, and classes that a node may compare.
-FIRST_DEPTH, LAST_DEPTH, BUCKET = 3, 12, 64
+FIRST_DEPTH, LAST_DEPTH, BUCKET = 3, 8, 64
 #: Share of equal minhashes that makes a candidate: 0.8 less four standard deviations.
 CANDIDATE = 0.66
 BLOCK = 256
