@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,17 +22,20 @@ from .common import Kept, passes
 
 #: Hashed counts that make a document's vector, dimensions it is projected to, and bits of a dimension in the key.
 BUCKETS, DIMS, BITS = 512, 4, 10
-#: The split and the normalisation for which a text may be encoded chunk by chunk (fixed values of the tokenizer's file).
+#: The split and the normalisation for which a text may be encoded piece by piece (fixed values of the tokenizer's file).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = ["NFC", "Replace", "Lowercase"]
-CACHE = 500_000
+#: The same split for texts below U+0250, where every character is in NFC and lower case is taken sign by sign.
+LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
+NOT_LATIN = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
+CACHE = 900_000
 
 
 class Encoder:
-    """Token ids of texts as bytes; equal to the library's ids, with cached chunks between white space."""
+    """Token ids of texts as bytes; equal to the library's ids, with cached pieces of the split."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,50 +45,53 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.by_chunk = pre[0].get("pattern", {}).get("Regex") == SPLIT and pre[0].get("behavior") == "Removed" and steps == STEPS and spec["model"].get("end_of_word_suffix") == "</w>" and all(not any(c.isspace() for c in a["content"]) for a in spec["added_tokens"])
-        self.marks = {a["content"][0] for a in spec["added_tokens"]}
-        self.pieces_in = regex.compile(SPLIT)
+        self.by_piece = pre[0].get("pattern", {}).get("Regex") == SPLIT and pre[0].get("behavior") == "Removed" and steps == STEPS and spec["model"].get("end_of_word_suffix") == "</w>" and all(not any(c.isspace() for c in a["content"]) for a in spec["added_tokens"])
+        self.added = [a["content"] for a in spec["added_tokens"]]
         self.last = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.last[i] = token.endswith("</w>")
-        self.chunk: dict[str, bytes] = {}
         self.piece: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Chunks below U+0250 are in NFC and fall into pieces; all others, and what may hold an added token, go to the library whole."""
-        if len(self.chunk) > CACHE:
-            self.chunk.clear()
-        if len(self.piece) > CACHE:
-            self.piece.clear()
-        plain = [c for c in chunks if c and max(c) < "ɐ" and not self.marks & set(c)]
-        other = list(chunks.difference(plain, [""]))
-        self.chunk[""] = b""
-        self.chunk.update(zip(other, self._direct(other), strict=True))
-        cut = [self.pieces_in.findall(c.lower()) for c in plain]
-        new = list({p for ps in cut for p in ps}.difference(self.piece))
+    def _learn(self, seen: set[str]) -> None:
+        """Fills the cache with the ids of pieces; beyond its bound it begins anew with those of this batch."""
+        new = list(seen.difference(self.piece))
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            got = [x.tobytes() for x in np.split(ids, ends[:-1])] if len(ends) == len(part) else self._direct(part)
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
+            got = [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)] if len(ends) == len(part) else self._direct(part)
             self.piece.update(zip(part, got, strict=True))
-        for c, ps in zip(plain, cut, strict=True):
-            self.chunk[c] = b"".join([self.piece[p] for p in ps])
+        if len(self.piece) > CACHE:
+            self.piece = {p: self.piece[p] for p in seen}
+
+    def _chunks(self, texts: list[str]) -> list[bytes]:
+        """Texts with other signs: chunks between spaces that are Latin fall into pieces, the others go to the library whole."""
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        chunks = list({c for p in parts for c in p if c})
+        plain = [c for c in chunks if not NOT_LATIN.search(c) and not any(a in c for a in self.added)]
+        other = list(set(chunks).difference(plain))
+        known = dict(zip(other, self._direct(other), strict=True)) | dict(zip(plain, self._pieces(plain), strict=True)) | {"": b""}
+        return [b"".join([known[c] for c in p]) for p in parts]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        cut = [LATIN.findall(t.lower()) for t in texts]
+        self._learn(set().union(*cut))
+        get = self.piece.__getitem__
+        return [b"".join(map(get, p)) for p in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunk:
+        if not self.by_piece:
             return self._direct(texts)
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        seen = set().union(*parts) if parts else set()
-        if new := seen.difference(self.chunk):
-            self._learn(new)
-            if lost := seen.difference(self.chunk):  # the cache began anew
-                self._learn(lost)
-        get = self.chunk.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        out: list[bytes] = [b""] * len(texts)
+        odd = {i for i, t in enumerate(texts) if (any(c in t for c in CONTROLS) if t.isascii() else NOT_LATIN.search(t)) or any(a in t for a in self.added)}
+        for ids, f in ((sorted(odd), self._chunks), ([i for i in range(len(texts)) if i not in odd], self._pieces)):
+            if ids:
+                for i, x in zip(ids, f([texts[i] for i in ids]), strict=True):
+                    out[i] = x
+        return out
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
