@@ -56,14 +56,20 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, seen: set[str]) -> None:
-        """Fills the cache with the ids of pieces; beyond its bound it begins anew with those of this batch."""
-        new = list(seen.difference(self.piece))
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
+        """Fills the cache with the ids of lower-case chunks; a chunk of letters is a piece of the split, others fall into
+        pieces first. Beyond its bound the cache begins anew with the chunks of this batch."""
+        new = seen.difference(self.piece)
+        cut = {c: LATIN.findall(c) for c in new if not c.isalpha()}
+        known, self.piece[""] = self.piece, b""
+        pieces = list({p for ps in cut.values() for p in ps}.union(c for c in new if c.isalpha()).difference(known))
+        for i in range(0, len(pieces), 2000):
+            part = pieces[i : i + 2000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             raw, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
             got = [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)] if len(ends) == len(part) else self._direct(part)
-            self.piece.update(zip(part, got, strict=True))
+            known.update(zip(part, got, strict=True))
+        for c, ps in cut.items():
+            known[c] = b"".join([known[p] for p in ps])
         if len(self.piece) > CACHE:
             self.piece = {p: self.piece[p] for p in seen}
 
@@ -77,7 +83,7 @@ class Encoder:
         return [b"".join([known[c] for c in p]) for p in parts]
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        cut = [LATIN.findall(t.lower()) for t in texts]
+        cut = [t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         self._learn(set().union(*cut))
         get = self.piece.__getitem__
         return [b"".join(map(get, p)) for p in cut]
