@@ -44,6 +44,7 @@ class Kept:
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         df.write.option("compression", compression).parquet(f"{self.at}/{name}")
+        self.spark._jvm.System.gc()  # the driver forgets the finished plan, so executors free its shuffle files
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
