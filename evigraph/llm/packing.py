@@ -145,7 +145,7 @@ def tokens(docs: DataFrame, path: str, end_id: int = 1, seed: int = 7, id_col: s
         enc = Encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for part, texts in passes(batch):
+            for part, texts in passes(batch, most=2_000_000):
                 raw = [x + end for x in enc.encode(texts)]
                 keys = curve_keys([np.frombuffer(x, enc.dtype) for x in raw], seed)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array([enc.dtype.itemsize == 4] * len(raw), pa.bool_()), pa.array(raw, pa.binary())], ["doc_id", "key", "wide", "ids"])
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, seed: in
 
     A sequence is `size` tokens long, or a power of two at the end of a partition. Tokens are written to the shared
     folder once, so the sampling of the range sort reads them back instead of encoding again."""
-    held = Kept(docs.sparkSession).keep(tokens(docs, path, end_id, seed, id_col, text_col), "tokens")
+    held = Kept(docs.sparkSession).keep(tokens(docs, path, end_id, seed, id_col, text_col), "tokens", "snappy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Cutter(size, TaskContext.get().partitionId() << 32, with_ids)
