@@ -152,10 +152,11 @@ def test_line_dedup_keeps_one(spark):
     assert set(left) == set(lines) and set(left.values()) == {1}
     assert got[40].text is None and got[41].text == "" and got[42].text == "x\n\ny"
     assert all(r.text.split("\n").count("a b") == 1 for i, r in got.items() if i < 40)
-    hashes = [rng.randrange(-(2**63), 2**63) for _ in range(601)]
-    for n in (1, 2, 5, 500, 501, 601):
-        row = spark.createDataFrame([(hashes[:n],)], "hs array<long>").select(F.expr(line_dedup.simhash_sql("hs")).alias("h")).first()
-        assert row.h == sum(1 << b for b in range(63) if 2 * sum((x >> b) & 1 for x in hashes[:n]) > n)
+    for n in (1, 2, 5, 500, 501, 1203):
+        w = rng.choices(vocabulary, k=n)
+        hashes = [r.x for r in spark.createDataFrame([(x,) for x in w], "w string").select(F.xxhash64("w").alias("x")).collect()]
+        row = line_dedup.simhashes(spark.createDataFrame([(7, " ".join(w), n)], "line_id long, norm string, words int")).collect()
+        assert [(r.line_id, r.h) for r in row] == [(7, sum(1 << b for b in range(63) if 2 * sum((x >> b) & 1 for x in hashes) > n))]
 
 
 def test_passages_are_found(spark):
