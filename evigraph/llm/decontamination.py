@@ -7,7 +7,8 @@ block, bound a passage's score there. Blocks whose bound reaches the threshold g
 item above it. A hit is a leak when the item's question and its answer
 both overlap with the passage in words, five in a row, to a given share.
 
-An item's answer is its last sentence, or its second half when it has one sentence.
+An item's answer is its last sentence, or its second half when it has one sentence. A part of n < 5 words is one window
+of n words, sought among the passage's windows of n words; where both parts are that short, the windows are the whole item's.
 
 The index of a pass over the documents has at most SHARD_BYTES of item text, which is what is broadcast; with more
 items there are more passes, each exact, with statistics of all items.
@@ -61,7 +62,9 @@ class Index:
         rare_df = RARE_SHARE * n_items
         for i, (item, ws, text) in enumerate(items):
             self.ids.append(item)
-            self.parts.append(tuple(self.grams(p) for p in parts(text)))
+            question, answer = parts(text)
+            short = max(len(question), len(answer)) < GRAM  # single words of both could stand anywhere
+            self.parts.append(tuple(self.grams(ws if short and p else p) for p in (question, answer)))
             scale = K1 * (1 - B + B * len(ws) / max(mean_words, 1))
             impact = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + scale) for t, n in Counter(ws).items()}
             need = share * sum(impact.values())
@@ -88,8 +91,9 @@ class Index:
         self.common = np.array([common[k : k + BLOCK].max() for k in range(0, len(items), BLOCK)])
 
     @staticmethod
-    def grams(ws: list[str]) -> np.ndarray:
-        return np.unique(shingles(WordHash().of(ws), GRAM)) if ws else np.zeros(0, np.uint64)
+    def grams(ws: list[str]) -> tuple[int, np.ndarray]:
+        """(words of a window, different windows)"""
+        return min(len(ws), GRAM), np.unique(shingles(WordHash().of(ws), GRAM)) if ws else np.zeros(0, np.uint64)
 
     def search(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """Block-max WAND inside one block: the items whose score over these distinct terms is 1 or more."""
@@ -203,9 +207,10 @@ class Indexes:
                 terms.discard(0)
                 got = ix.search(list(terms), int(block))
                 if got:
-                    grams = np.unique(shingles(hasher.of(split[d][a:b]), GRAM))
+                    hashes = hasher.of(split[d][a:b])
+                    grams = {k: np.unique(shingles(hashes, k)) for k in {k for item, _ in got for k, _ in ix.parts[item] if k}}
                     for item, score in got:
-                        q, w = (float(np.isin(x, grams).mean()) if len(x) else 1.0 for x in ix.parts[item])
+                        q, w = (float(np.isin(x, grams[k]).mean()) if k else 1.0 for k, x in ix.parts[item])
                         now = (min(q, w), q, w, score * self.share)
                         if best.get((d, g, item), (-1.0,)) < now:
                             best[d, g, item] = now

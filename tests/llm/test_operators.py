@@ -194,6 +194,18 @@ def test_decontamination_finds_every_copy(spark):
         assert {(r.doc_id, r.item_id) for r in got.where("leaked").collect()} == want
 
 
+def test_decontamination_finds_short_parts(spark):
+    rng = random.Random(8)
+    items = [sentence(rng, 30) + ". " + sentence(rng, n) + "." for n in (1, 2, 3, 4)] + [sentence(rng, n) + ". " + sentence(rng, 30) + "." for n in (1, 2, 3, 4)]
+    items += [sentence(rng, 3) + ". " + sentence(rng, 2) + "."]
+    docs = [sentence(rng, 60) + " " + t + " " + sentence(rng, 60) for t in items]
+    docs += [docs[i].replace(words(items[i])[-1], "other") for i in range(4)]  # the question without its answer
+    docs += [" ".join([*words(items[8])[3:], sentence(rng, 20), *words(items[8])[:3]])]  # the parts apart
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.search(frame(spark, docs), bench)
+    assert {(r.doc_id, r.item_id) for r in got.where("leaked").collect()} == {(i, i) for i in range(len(items))}
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(6)
     docs, labels = [], []
