@@ -159,6 +159,25 @@ def test_line_dedup_keeps_one(spark):
         assert [(r.line_id, r.h) for r in row] == [(7, sum(1 << b for b in range(63) if 2 * sum((x >> b) & 1 for x in hashes) > n))]
 
 
+def test_line_dedup_ties_fuzzy_lines(spark):
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to", "a"]
+    docs = []
+    for n in (10, 20, 50, 100):
+        for share in (0.1, 0.2):
+            for _ in range(40):
+                line = [rng.choice(common) if rng.random() < 0.4 else f"w{rng.randrange(20000)}" for _ in range(n)]
+                near = list(line)
+                for i in rng.sample(range(n), int(n * share)):
+                    near[i] = f"x{rng.randrange(20000)}"
+                docs += [" ".join(line), " ".join(near)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert all(got[i].text == docs[i] for i in range(0, len(docs), 2))  # the originals are no near copies of each other
+    tied = np.array([got[i].n_dropped for i in range(1, len(docs), 2)]).reshape(4, 2, 40).mean(2)
+    print(tied)
+    assert (tied[:, 0] >= 0.9).all() and (tied[:, 1] >= 0.75).all() and tied.mean() >= 0.9
+
+
 def test_passages_are_found(spark):
     rng = random.Random(9)
     shared = sentence(rng, 70).split()
