@@ -219,9 +219,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     marks = kept.keep(rows.mapInArrow(_profile, "doc_id long, mark long, c1 long, c2 long, n long, sketch binary"), "profile")
-    classes = marks.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.count("*").alias("copies"))
+    classes = marks.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("r"), F.count("*").alias("copies"))
     classes = kept.keep(classes.select("c1", "c2", "r.doc_id", "r.mark", "copies", F.monotonically_increasing_id().alias("id")), "classes")
-    first = marks.select("doc_id", "mark", "sketch").join(classes.select("doc_id", "mark", "id"), ["doc_id", "mark"]).dropDuplicates(["id"])
+    own = classes.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "id")  # a class of null ids only has one too
+    first = marks.select("doc_id", "mark", "sketch").join(own, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["id"])
     sketches = kept.keep(first.select("id", "sketch"), "sketches")
 
     paths = kept.keep(sketches.mapInArrow(_runs, "node long, id long"), "paths3")
@@ -248,7 +249,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     members = groups.withColumnRenamed("node", "id").join(groups.groupBy("component").agg(F.count("*").alias("m")), "component")
     members = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = members.join(classes.select("id", "doc_id", "mark", "copies"), "id").select("doc_id", "mark", "id", "component", "blocks", "block", "copies")
-    texts = rows.join(members, ["doc_id", "mark"]).dropDuplicates(["id"]).select("id", "component", "blocks", "block", "copies", "text")
+    members = members.withColumnsRenamed({"doc_id": "of", "mark": "of_mark"})
+    texts = rows.join(members, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))).dropDuplicates(["id"]).select("id", "component", "blocks", "block", "copies", "text")
     sets = texts.mapInArrow(_sets, "id long, component long, blocks int, block int, copies long, set binary")
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "id", "block", "copies", "set")
     pairs = pairs.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")

@@ -196,6 +196,15 @@ def test_passages_are_found(spark):
     assert all(r.end_word - r.start_word >= 50 and r.identity >= 0.8 for r in got)
 
 
+def test_jaccard_join_with_null_ids(spark):
+    rng = random.Random(14)
+    base = sentence(rng, 80).split()
+    near = " ".join([*base[:40], "changed", *base[41:]])
+    rows = [(None, " ".join(base)), (3, " ".join(base)), (5, " ".join(base)), (7, near), (None, sentence(rng, 60))]
+    got = jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(None, 3, 3), (3, 3, 3), (5, 3, 3), (7, 3, 3), (None, None, 0)}
+
+
 def test_decontamination_finds_every_copy(spark):
     rng = random.Random(5)
     items = [sentence(rng, rng.randrange(12, 55)) + ". " + sentence(rng, 8) for _ in range(30)]
