@@ -205,6 +205,22 @@ def test_jaccard_join_with_null_ids(spark):
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(None, 3, 3), (3, 3, 3), (5, 3, 3), (7, 3, 3), (None, None, 0)}
 
 
+def test_passages_of_low_identity(spark):
+    rng = random.Random(15)
+    docs = []
+    for n, identity in ((60, 0.9), (60, 0.85), (80, 0.85)):
+        for _ in range(40):
+            p = sentence(rng, n).split()
+            q = list(p)
+            for i in rng.sample(range(2, n - 2), round(n * (1 - identity))):
+                q[i] = "edited" + str(rng.randrange(10**6))
+            docs += [" ".join([sentence(rng, 70), *x, sentence(rng, 70)]) for x in (p, q)]
+    got = substring_dedup.passages(frame(spark, docs)).collect()
+    pairs = {tuple(sorted((r.doc_id, r.ref_doc_id))) for r in got}
+    share = [np.mean([(2 * i, 2 * i + 1) in pairs for i in range(k, k + 40)]) for k in (0, 40, 80)]
+    assert min(share) >= 0.9, share
+
+
 def test_decontamination_finds_every_copy(spark):
     rng = random.Random(5)
     items = [sentence(rng, rng.randrange(12, 55)) + ". " + sentence(rng, 8) for _ in range(30)]
