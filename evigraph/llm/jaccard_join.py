@@ -10,6 +10,7 @@ tokens; they are tied to its first class. That gives candidate groups.
 Inside each candidate group all pairs are then verified by exact Jaccard similarity of the whole shingle sets, block
 against block, so a group of any size is spread over tasks of bounded memory and only counts leave them. A pair of
 similarity 0.8 meets in a run with probability 0.64; RUNS runs miss one pair in about 4000.
+Where nodes are split to depth 8 it is 0.41, and one pair in about 70 is missed.
 
 Defined results: a text of fewer than five words is one shingle; a null or empty text has none, is its own class and
 has no link. Repeated rows are copies of each other. Other columns are ignored."""
