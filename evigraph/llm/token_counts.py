@@ -1,10 +1,10 @@
-"""Op 2, token counts: a byte-level tokenizer as finite-state transducers whose chunk maps compose by prefix scan.
+"""Op 2, token counts: the pre-tokens of a byte-level tokenizer by a transducer whose chunk maps compose by prefix scan.
 
 The split into pre-tokens is a deterministic transducer of eight states. A batch of texts is one stream of characters,
 cut into chunks of equal length; for each chunk the map from every entry state to its exit state is computed for all
 chunks at once, an associative scan composes the maps, and each chunk is then run from its true entry state to find
-where pre-tokens close. The second transducer walks a pre-token and emits on its closing transition the number of
-tokens that the merges leave of it; its states are compiled from the tokenizer when a pre-token is first seen.
+where pre-tokens close. The merges are no transducer: the tokenizers library counts the tokens of a pre-token when it is
+first seen, and a dict of whole pre-tokens keeps the counts.
 
 Defined results: a null text is empty and has no tokens. Texts that hold an added token's string, which splits a text
 before all else, are given to the library as they are. Repeated rows are counted each. Other columns are ignored."""
