@@ -6,6 +6,8 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Phrases of challenge pages (fixed values).
 BLOCK_MARKERS = (
@@ -24,20 +26,26 @@ def normalize_name(name: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", name).casefold().split())
 
 
+@pandas_udf(StringType())
+def _other_names(s):  # type: ignore[no-untyped-def]
+    return s.map(lambda x: None if x is None else normalize_name(x))
+
+
 def normalized_names(column: Column) -> Column:
-    """normalize_name as a column; ASCII names stay in the JVM's reach, all go through one Arrow UDF."""
-    from pyspark.sql.functions import pandas_udf
+    """normalize_name as a column: ASCII names stay in the JVM, an Arrow UDF gets the others and nulls."""
+    ascii_ = column.rlike(r"^[\x00-\x7f]*$")
+    plain = F.trim(F.regexp_replace(F.lower(column), r"[\s\x1c-\x1f]+", " "))
+    return F.when(ascii_, plain).otherwise(_other_names(F.when(~ascii_, column)))
 
-    @pandas_udf("string")
-    def run(s):  # type: ignore[no-untyped-def]
-        return s.map(lambda x: None if x is None else normalize_name(x))
 
-    return run(column)
+#: Ends of lines: those of Java's \\R and the separators of files, groups and records.
+LINE = r"\r\n|[\n\x0B\f\r\x85\u2028\u2029\x1c-\x1e]"
 
 
 def clean_lines(column: Column) -> Column:
     """H1 as an array: lines with single spaces, empty ones left out."""
-    lines = F.transform(F.split(column, r"\n|\r\n|\r"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B]+", " ")))
+    squeezed = F.regexp_replace(F.regexp_replace(column, LINE, "\n"), r"[ \t]+", " ")
+    lines = F.transform(F.split(squeezed, "\n"), lambda x: F.trim(x))
     return F.filter(lines, lambda x: x != "")
 
 
@@ -46,8 +54,8 @@ def clean_text(column: Column) -> Column:
 
 
 def without_embedded_lists(column: Column) -> Column:
-    """H9: drops recommendation lists between their two marker lines."""
-    return F.regexp_replace(column, r"(?m)^(?:Recommended Stories\n)?list of \d+ items?$[\s\S]*?^end of list$\n?", "")
+    """H9: drops recommendation lists between their two marker lines (fixed pattern)."""
+    return F.regexp_replace(column, r"(?m)^(?:Recommended Stories\n)?list of \d+ items\n[\s\S]*?^end of list$\n?", "")
 
 
 def headline(column: Column, most: int = 500) -> Column:
@@ -82,6 +90,14 @@ def capped_segments(texts: Column, budget: int) -> Column:
 
 
 def parse_time(column: Column) -> Column:
-    """H3: ISO 8601 or RFC 2822 with a zone, as a timestamp; without a zone null."""
+    """H3: ISO 8601 or RFC 2822 with a zone, as a timestamp; without a zone null. `time_warning` says why one is null."""
     zone = column.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2}|GMT|UTC)\s*$")
-    return F.when(zone, F.coalesce(F.try_to_timestamp(column), F.try_to_timestamp(column, F.lit("EEE, d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(column, F.lit("EEE, d MMM yyyy HH:mm:ss z"))))
+    mail = F.regexp_replace(F.regexp_replace(F.trim(column), r"^[A-Za-z]{3},\s*", ""), r"(?:GMT|UTC)$", "+0000")
+    return F.when(zone, F.coalesce(F.try_to_timestamp(F.trim(column)), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z"))))
+
+
+def time_warning(column: Column) -> Column:
+    """H3: what is noted where a time gives none."""
+    local = F.try_to_timestamp(column).isNotNull() & ~column.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2}|GMT|UTC)\s*$")
+    unread = F.concat(F.lit("Unparsed publication time: "), F.left(column, F.lit(80)))
+    return F.when((column == "") | parse_time(column).isNotNull(), None).when(local, "Publication time has no timezone; retained as raw metadata").otherwise(unread)

@@ -5,13 +5,22 @@ writing its marker table, so a reader sees all of a batch or nothing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import hashlib
+import tempfile
+import uuid
+from collections.abc import Callable
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized_names
 from .cooccurrence import first_wins
 
 SCHEMA_VERSION = 1
 ALIAS_KINDS = ["handle", "abbreviation", "alias", "surname", "surface"]
+RUN = "id long, started_at timestamp, finished_at timestamp, status string, config_hash string, extractor_version string, summary_json string"
 RELATION_KEY = ["source_key", "target_key", "relation_type"]
 
 
@@ -31,24 +40,54 @@ def refreshed(sources: DataFrame, items: DataFrame) -> DataFrame:
     return sources.join(seen, ["source_url", "content_hash"], "left").withColumn("last_scraped_at", F.greatest("last_scraped_at", F.coalesce("_seen", "last_scraped_at"))).drop("_seen").select(*sources.columns)
 
 
-def with_ids(new: DataFrame, last_id: int, order: list[str], id_col: str = "id") -> DataFrame:
-    """Ids after the last one, in a fixed order. Only new keys are numbered."""
-    parts = new.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranked = new.repartitionByRange(int(parts), *order).withColumn("_p", F.spark_partition_id())
-    sizes = ranked.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+def refreshed_edges(edges: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """last_seen of edges moves on with the last_scraped_at of the versions that support them."""
+    seen = evidence.select(F.col("edge_id").alias("id"), "source_id").join(sources.select(F.col("id").alias("source_id"), "last_scraped_at"), "source_id").groupBy("id").agg(F.max("last_scraped_at").alias("_seen"))
+    return edges.join(seen, "id", "left").withColumn("last_seen", F.greatest("last_seen", F.coalesce("_seen", "last_seen"))).select(*edges.columns)
+
+
+def with_ids(new: DataFrame, last_id: int, order: list[str], id_col: str = "id", parts: int = 64) -> DataFrame:
+    """Ids after the last one, in the order of columns. Only new keys are numbered.
+
+    Rows fall into ranges between bounds from a sample of the order's values; a row's range depends on its own values
+    only, so both readings of `new` agree on it. Places inside a range are added to the counts of the ranges before."""
+    key = F.struct(*order)
+    n = new.count()
+    sample = new.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(1 + n // 2000)) == 0).distinct().orderBy(*order).limit(8000).collect()  # a bounded sample
+    kinds = [new.schema[c].dataType for c in order]
+    bounds = [sample[k * len(sample) // parts] for k in range(1, parts)] if len(sample) > parts else []
+    array = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, t, c in zip(r, kinds, order, strict=True)]) for r in bounds])
+    of = F.size(F.filter(array, lambda b: b < key)) if bounds else F.lit(0)
+    rows = new.withColumn("_p", of)
+    before = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = before.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranked.withColumn("_k", own).join(before, "_p").withColumn(id_col, F.col("_b") + F.col("_k") + last_id).drop("_p", "_b", "_k")
+    return rows.withColumn("_k", own).join(F.broadcast(before), "_p").withColumn(id_col, (F.col("_b") + F.col("_k") + last_id).cast("long")).drop("_p", "_b", "_k")
+
+
+def key_faults(mentions: DataFrame) -> DataFrame:
+    """Mentions whose key isn't that of their type and canonical name; none may be stored."""
+    key = F.concat_ws(":", "entity_type", normalized_names(F.col("canonical_name")))
+    return mentions.where(~F.col("key").eqNullSafe(key) | (normalized_names(F.col("canonical_name")) == ""))
 
 
 def collect_nodes(mentions: DataFrame) -> DataFrame:
     """Per item and key the first canonical name, spans and surfaces. mentions: item, key, entity_type, canonical_name, name, segment_id, start, end, ord."""
-    return mentions.groupBy("item", "key").agg(F.min_by("canonical_name", "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"), F.count_distinct("segment_id", "start", "end").alias("occurrence_count"), F.array_sort(F.collect_set("name")).alias("surface_forms"))
+    plain = F.trim(F.regexp_replace("canonical_name", r"(?U)\s+", " "))
+    return mentions.groupBy("item", "key").agg(F.min_by(plain, "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"), F.count_distinct("segment_id", "start", "end").alias("occurrence_count"), F.array_sort(F.collect_set(F.when(F.trim("name") != "", F.col("name")))).alias("surface_forms"))
+
+
+def mention_aliases(mentions: DataFrame) -> DataFrame:
+    """(item, key, alias_key, alias_kind) of written names, each with its best kind."""
+    rank = F.array_position(F.array(*[F.lit(k) for k in ALIAS_KINDS]), alias_kind())
+    rows = mentions.select("item", "key", normalized_names(F.col("name")).alias("alias_key"), alias_kind().alias("alias_kind"), rank.alias("_r"))
+    return rows.where("alias_key != ''").groupBy("item", "key", "alias_key").agg(F.min_by("alias_kind", "_r").alias("alias_kind"))
 
 
 def alias_kind(resolution: str = "resolution") -> F.Column:
-    """What kind of alias a resolution makes."""
-    return F.when(F.col(resolution).contains("handle"), "handle").when(F.col(resolution).contains("abbreviation"), "abbreviation").when(F.col(resolution).contains("alias"), "alias").when(F.col(resolution).contains("surname"), "surname").otherwise("surface")
+    """What kind of alias a resolution makes: the first kind in order that its text holds, case aside."""
+    text = F.lower(F.col(resolution))
+    return F.coalesce(*[F.when(text.contains(k), k) for k in ALIAS_KINDS[:-1]], F.lit(ALIAS_KINDS[-1]))
 
 
 def best_aliases(aliases: DataFrame, stored: DataFrame) -> DataFrame:
@@ -65,10 +104,11 @@ def checked_relations(relations: DataFrame, nodes: DataFrame, segments: DataFram
     r = r.join(known.select("item", F.col("key").alias("target_key"), F.lit(True).alias("_t")), ["item", "target_key"], "left")
     r = r.join(segments.select("item", "segment_id", F.col("text").alias("_text")), ["item", "segment_id"], "left")
     cut = F.expr("substring(_text, start + 1, end - start)")
+    blank = reduce(Column.__or__, [F.coalesce(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), F.lit("")) == "" for c in ("evidence_text", "relation_type", "rule_id")])
     status = (
         F.when(F.col("_s").isNull() | F.col("_t").isNull(), "relations_skipped")
         .when(F.col("source_key") == F.col("target_key"), "self_edges_rejected")
-        .when(F.col("_text").isNull() | (F.col("start") < 0) | (F.col("end") < F.col("start")) | (cut != F.col("evidence_text")), "invalid_evidence")
+        .when(F.col("_text").isNull() | (F.col("start") < 0) | (F.col("end") <= F.col("start")) | (F.col("end") > F.length("_text")) | ~cut.eqNullSafe(F.col("evidence_text")) | blank, "invalid_evidence")
         .otherwise("ok")
     )
     return r.withColumn("status", status).drop("_s", "_t", "_text")
@@ -91,40 +131,127 @@ def merged(stored: DataFrame, new: DataFrame, key: list[str], sums: list[str] =
     return stored.unionByName(new).groupBy(*key).agg(*aggs)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of its own in the one that driver and executors share: spark.checkpoint.dir, a temporary one only where it is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='evigraph-')).rstrip('/')}/evigraph-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Intermediate tables: written once and read again, which survives lost executors and keeps plans short."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, scratch(spark)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Conflict(RuntimeError):
+    """Another writer published the version first."""
+
+
 class Snapshots:
-    """Versions of named tables under one folder."""
+    """Versions of named tables under one folder.
+
+    A version's marker table says in which version each table was written last, so a batch writes only what it changes.
+    A writer claims its version by creating a file that must not exist, so of two writers one fails and may try again."""
+
+    #: Steps from a schema version to the next, each a function of the tables by name.
+    MIGRATIONS: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = {}
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark, self.path, self.pin = spark, path.rstrip("/"), version
+
+    def _fs(self):  # type: ignore[no-untyped-def]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _published(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, fs = self._fs()
+        root = path(self.path)
         if not fs.exists(root):
             return []
         found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_meta/_SUCCESS")))
+        return sorted(int(p.getName()[2:]) for p in found if fs.exists(path(p, "_meta/_SUCCESS")))
 
     @property
     def version(self) -> int:
-        return max(self._published(), default=0)
+        return self.pin or max(self._published(), default=0)
+
+    def pinned(self) -> Snapshots:
+        """A reader that stays at the version of now."""
+        return Snapshots(self.spark, self.path, self.version)
+
+    def meta(self, version: int | None = None) -> Row:
+        return self.spark.read.parquet(f"{self.path}/v={version or self.version}/_meta").first()
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        v = version or self.version
-        meta = self.spark.read.parquet(f"{self.path}/v={v}/_meta").first()
+        meta = self.meta(version)
         if meta.schema_version != SCHEMA_VERSION:
             raise RuntimeError(f"snapshot schema {meta.schema_version}, this engine has {SCHEMA_VERSION}")
-        return self.spark.read.parquet(f"{self.path}/v={v}/{table}")
-
-    def publish(self, extractor_version: str, **tables: DataFrame) -> int:
-        v = self.version + 1
+        return self.spark.read.parquet(f"{self.path}/v={meta.tables[table]}/{table}")
+
+    def tables(self) -> list[str]:
+        return sorted(self.meta().tables) if self.version else []
+
+    def publish(self, extractor_version: str, schema_version: int = SCHEMA_VERSION, **tables: DataFrame) -> int:
+        old = self.version
+        v = old + 1
+        path, fs = self._fs()
+        try:
+            fs.create(path(f"{self.path}/v={v}/_claim"), False).close()
+        except Py4JJavaError as e:
+            raise Conflict(f"version {v} is being written by another run") from e
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.path}/v={v}/{name}")
-        meta = self.spark.createDataFrame([(SCHEMA_VERSION, extractor_version)], "schema_version int, extractor_version string")
+        where = {**(self.meta(old).tables if old else {}), **dict.fromkeys(tables, v)}
+        meta = self.spark.createDataFrame([(schema_version, extractor_version, where)], "schema_version int, extractor_version string, tables map<string,int>")
         meta.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={v}/_meta")
         return v
 
+    def abandon(self, version: int) -> None:
+        """Frees a version that its writer left unpublished."""
+        path, fs = self._fs()
+        if version not in self._published():
+            fs.delete(path(f"{self.path}/v={version}"), True)
+
+    def migrate(self) -> int:
+        """Brings the newest snapshot to this engine's schema step by step; a newer one is refused. A step that fails
+        publishes nothing."""
+        meta = self.meta()
+        if meta.schema_version > SCHEMA_VERSION:
+            raise RuntimeError(f"snapshot schema {meta.schema_version} is newer than {SCHEMA_VERSION}")
+        tables = {t: self.spark.read.parquet(f"{self.path}/v={v}/{t}") for t, v in meta.tables.items()}
+        for step in range(meta.schema_version, SCHEMA_VERSION):
+            tables = self.MIGRATIONS[step](tables)
+        return self.version if meta.schema_version == SCHEMA_VERSION else self.publish(meta.extractor_version, **tables)
+
+
+def start_run(runs: DataFrame | None, spark: SparkSession, run_id: int, started_at, config_hash: str, extractor_version: str) -> DataFrame:  # type: ignore[no-untyped-def]
+    """The runs table with a running run."""
+    row = spark.createDataFrame([(run_id, started_at, None, "running", config_hash, extractor_version, None)], RUN)
+    return row if runs is None else runs.unionByName(row)
+
+
+def finish_run(runs: DataFrame, run_id: int, finished_at, status: str, summary: str) -> DataFrame:  # type: ignore[no-untyped-def]
+    """Closes a run as complete, partial or failed."""
+    if status not in ("complete", "partial", "failed"):
+        raise ValueError(f"no status {status!r}")
+    own = F.col("id") == run_id
+    done = {"finished_at": F.lit(finished_at), "status": F.lit(status), "summary_json": F.lit(summary)}
+    return runs.select(*[F.when(own, done[c]).otherwise(F.col(c)).alias(c) if c in done else F.col(c) for c in runs.columns])
+
+
+def extractor_version(rules: str, annotator: str, *vocabularies: bytes) -> str:
+    """Names the rules, the annotator and the vocabularies that made a graph."""
+    return f"{rules}+{annotator}+cfg-{hashlib.sha256(bytes(1).join(vocabularies)).hexdigest()[:12]}"
+
 
 def mixed_versions(runs: DataFrame, current: str) -> DataFrame:
     """Stored extractor versions other than the current one."""

@@ -10,13 +10,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events_graph(spark: SparkSession, sf_dir: str, people: int = 50, topics: int = 10) -> DataFrame:
-    """People and topics folded to a dense graph of observations."""
-    e = table(spark, sf_dir, "events")
+def stream_of(spark: SparkSession, sf_dir: str, name: str, schema) -> DataFrame:  # type: ignore[no-untyped-def]
+    """A table as a file stream; one that is a single file is found by name in its folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def graph_of(e: DataFrame, people: int, topics: int) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("PERSON:user-"), F.col("user_id") % people).alias("source"), F.concat(F.lit("TOPIC:k-"), k % topics).alias("target"), F.col("event_type").alias("relation_type"), F.to_date("ts").cast("string").alias("source_url"), F.col("ts").alias("observed_at"))
 
 
+def events_graph(spark: SparkSession, sf_dir: str, people: int = 50, topics: int = 10) -> DataFrame:
+    """People and topics folded to a dense graph of observations."""
+    return graph_of(table(spark, sf_dir, "events"), people, topics)
+
+
 E1 = """ev AS (SELECT event_id AS id, 'PERSON:user-' || (user_id % 50) AS source, 'TOPIC:k-' || (CAST(json_extract(props, '$.k') AS INT) % 10) AS target,
   event_type AS relation_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS source_url, ts AS observed_at FROM events)"""
 

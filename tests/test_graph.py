@@ -9,7 +9,6 @@ import pytest
 from evigraph.functions import text, urls
 from evigraph.operators import graph, store
 from evigraph.plans import catalogue
-from evigraph.sources.pages import article
 
 DATA = "/root/testdata/sf0.001"
 SINCE, AS_OF = datetime.datetime(2026, 10, 7, 12), datetime.datetime(2026, 10, 8, 12)
@@ -77,12 +76,6 @@ def test_urls_and_names():
     assert text.normalize_name("  ＡlICE  Straße ") == "alice strasse"
 
 
-def test_article():
-    html = "<html><head><title>T | Site</title></head><body><nav>no</nav><article><h1>Head</h1><p>" + "word " * 40 + "</p><script>x</script></article></body></html>"
-    got = article(html)
-    assert got["title"] == "Head" and got["body"].startswith("Head\nword") and got["reason"] is None and "no" not in got["page_text"].split()
-
-
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 def test_queries_equal_duckdb(spark):
     con = duckdb.connect()
