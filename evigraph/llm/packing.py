@@ -100,6 +100,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, one a worker process: tasks that follow one another find its pieces cached."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     """Index along the Hilbert curve of each row of coordinates in [0, 2**bits)."""
     x = points.astype(np.int64).copy()
@@ -132,7 +142,8 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
 def curve_keys(ids: list[np.ndarray], seed: int) -> np.ndarray:
     """Hilbert keys of token lists: hashed counts on the unit sphere, projected by a seeded Gaussian matrix."""
     to = np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
-    counts = np.array([np.bincount((x.astype(np.int64) * 2654435761 >> 7) % BUCKETS, minlength=BUCKETS) for x in ids], float).reshape(-1, BUCKETS)
+    bucket = (np.arange(1 + max((int(x.max()) for x in ids if len(x)), default=0)) * 2654435761 >> 7) % BUCKETS
+    counts = np.array([np.bincount(bucket[x], minlength=BUCKETS) for x in ids], float).reshape(-1, BUCKETS)
     v = counts @ to / np.maximum(np.sqrt((counts**2).sum(1, keepdims=True)), 1e-9)
     cells = np.floor((0.5 + np.arctan(v) / np.pi) * (1 << BITS)).astype(np.int64)
     return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
@@ -142,7 +153,7 @@ def tokens(docs: DataFrame, path: str, end_id: int = 1, seed: int = 7, id_col: s
     """(doc_id, key, wide, ids): ids as little-endian 16-bit numbers, 32-bit ones where wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             for part, texts in passes(batch):
