@@ -199,8 +199,8 @@ def connected_selection(kept: DataFrame, inner: DataFrame, max_edges: int) -> tu
 
 def resolve(nodes: DataFrame, aliases: DataFrame, keys: DataFrame) -> DataFrame:
     """Q1 for many keys: (key, id, candidates) of every node whose normalised name or alias is the key."""
-    by_name = nodes.join(keys, nodes.normalized_name == keys.key).select("key", "id")
-    by_alias = aliases.join(keys, aliases.alias_key == keys.key).select("key", F.col("node_id").alias("id"))
+    by_name = nodes.select("id", F.col("normalized_name").alias("key")).join(keys, "key").select("key", "id")
+    by_alias = aliases.select(F.col("node_id").alias("id"), F.col("alias_key").alias("key")).join(keys, "key").select("key", "id")
     found = by_name.union(by_alias).distinct()
     return found.withColumn("candidates", F.count("*").over(Window.partitionBy("key")))
 
