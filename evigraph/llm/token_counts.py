@@ -160,11 +160,21 @@ class Counter:
         return out
 
 
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    """The counter of a tokenizer file, one a worker process: tasks that follow one another find its lexicon filled."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path)
+    return _COUNTERS[path]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(path)
+        counter = counter_of(path)
         for batch in batches:
             for part, texts in passes(batch):
                 n = counter.count(texts)
