@@ -189,7 +189,7 @@ def phrases(tokens: DataFrame, patterns: DataFrame, exact: bool = False) -> Data
     """Every place of a phrase, as (item, segment_id, sent, first, last, name). patterns: words (array), name.
 
     Phrases of n words meet the n-word windows of the tokens in an equi-join on their text; lower case unless `exact`."""
-    sizes = [r.n for r in patterns.select(F.size("words").alias("n")).distinct().collect()]  # a handful of lengths
+    sizes = [r.n for r in patterns.select(F.size("words").alias("n")).distinct().collect()] or [1]  # a handful of lengths; no pattern at all finds nothing
     w = Window.partitionBy(*SEGMENT).orderBy("i")
     rows = tokens.select(*SEGMENT, "sent", "i", (F.col("text") if exact else F.lower("text")).alias("t"))
     longest = max(sizes, default=0)
