@@ -29,8 +29,7 @@ STEPS = ["NFC", "Replace", "Lowercase"]
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\w\s]|_)+")
 NOT_LATIN = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f]")
 CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Pieces that a worker holds, about 100 MB: idle workers keep them beside the stages that follow.
-CACHE = 500_000
+CACHE = 1_500_000
 
 
 class Encoder:
