@@ -2,10 +2,10 @@
 
 Equal texts are one text. Of each text, the k-word windows whose hash is least among their neighbours (minimizers) are
 seeds; any run of K + W - 1 equal words shares one. Every occurrence of a seed is matched with the first text that has
-it, so a passage that thousands of texts share makes one match for each occurrence and not all pairs. Where neighbouring
-seeds of a text belong to different first texts, the two seeds together are a seed of the next level, matched with the
-first text that has both side by side, and so on until none is left: texts that share a passage meet even if its parts
-stand in different earlier texts. The matches of two texts are chained by a Fenwick tree over the places in the first
+it, so a passage that thousands of texts share makes one match for each occurrence and not all pairs. A seed of at most FEW
+occurrences matches all their pairs. Where a text's neighbouring seeds of more occurrences belong to different first texts,
+or to places of one that are far apart, the two together are a seed of the next level, whether or not changed words lie
+between them, and so on until none is left: texts that share a passage meet even if its parts stand in different earlier texts. The matches of two texts are chained by a Fenwick tree over the places in the first
 text: a chain ascends in both texts and pays for gaps. Chains are then aligned word by word between their seeds and
 extended at both ends, and passages of enough words and identity are returned.
 
@@ -36,6 +36,8 @@ LEAST_WORDS, IDENTITY = 50, 0.8
 GAP, MARGIN = 0.05, 60
 #: Stretches that a text is asked for at once, about.
 ASKS = 200
+#: Occurrences of a seed up to which all their pairs are matched.
+FEW = 8
 #: Texts that are looked at for hot seeds, about; a seed is hot if more than one in HOT of them have it.
 SAMPLE, HOT, PARTS = 5_000, 500, 64
 
@@ -216,26 +218,36 @@ def _matches(texts: DataFrame, least_words: int, kept: Kept) -> DataFrame:
     occurs = occurs.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(-1)).drop("hot")
     order = Window.partitionBy("seed", "part").orderBy("id", "at")
     top = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shared = occurs.select("seed", "part", "id", "at", "ord", F.first("id").over(top).alias("ref"), F.first("at").over(top).alias("ref_at"), F.lead("id").over(order).alias("next"))
-    shared = shared.where("id != ref OR next != id OR (part >= 0 AND at = ref_at)").select(F.col("seed").alias("key"), "part", "id", "at", "ord", "ref", "ref_at")
+    whole = F.count("*").over(Window.partitionBy("seed", "part")).alias("n")
+    shared = occurs.select("seed", "part", "id", "at", F.first("id").over(top).alias("ref"), F.first("at").over(top).alias("ref_at"), F.lead("id").over(order).alias("next"), whole)
+    shared = shared.where("id != ref OR next != id OR (part >= 0 AND at = ref_at)").select(F.col("seed").alias("key"), "part", "id", "at", "ref", "ref_at", F.when(F.col("part") < 0, F.col("n")).alias("n"))
     shared = kept.keep(shared, "shared")
     pick = lambda df: df.where("id != ref").select("id", "ref", "at", "ref_at")
+
+    def among(level: DataFrame) -> DataFrame:
+        """The pairs of few occurrences beside those with the first."""
+        few = level.where(f"id != ref AND n BETWEEN 3 AND {FEW}").select("key", "id", "at")
+        earlier = few.select("key", F.col("id").alias("ref"), F.col("at").alias("ref_at"))
+        return few.join(earlier, "key").where("ref < id").select("id", "ref", "at", "ref_at")
+
     tops = shared.where("part >= 0 AND id = ref AND at = ref_at")  # the first texts of the parts of hot seeds
     first = tops.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f")).select("key", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
-    found = [pick(shared), pick(tops.select("key", "id", "at").join(first, "key"))]
-    # neighbours with different first texts; after `least_words` levels a key alone spans a passage
-    level = shared.select("key", "id", "at", "ord", "ref")
+    found = [pick(shared), among(shared), pick(tops.select("key", "id", "at").join(first, "key"))]
+    # neighbours of different first texts, in the first level of places far apart in one too; after `least_words` levels a key alone spans a passage
+    level = shared.select("key", "id", "at", "ref", "ref_at", "n")
     for i in range(least_words):
-        row = Window.partitionBy("id").orderBy("ord")
-        ahead = {c: F.lead(c).over(row).alias(f"{c}_2") for c in ("key", "ord", "ref")}
-        pairs = level.select("key", "id", "at", "ord", "ref", *ahead.values()).where("ord_2 = ord + 1 AND ref_2 != ref")
-        pairs = kept.keep(pairs.select(F.xxhash64("key", "key_2").alias("key"), "id", "at", "ord"), f"pairs{i}")
-        first = pairs.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last")).where("f.id < last")
-        level = kept.keep(pairs.join(first.select("key", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at")), "key"), f"level{i}")
+        row = Window.partitionBy("id").orderBy("at")
+        ahead = {c: F.lead(c).over(row).alias(f"{c}_2") for c in ("key", "at", "ref", "ref_at")}
+        pairs = level.where(f"n IS NULL OR n > {FEW}").select("key", "id", "at", "ref", "ref_at", *ahead.values())
+        apart = "ref_2 != ref" if i else f"ref_2 != ref OR (id != ref AND abs(ref_at_2 - ref_at) > {2 * MARGIN})"
+        pairs = pairs.where(f"at_2 - at <= {MARGIN} AND ({apart})")
+        pairs = kept.keep(pairs.select(F.xxhash64("key", "key_2").alias("key"), "id", "at"), f"pairs{i}")
+        first = pairs.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.max("id").alias("last"), F.count("*").alias("n")).where("f.id < last")
+        level = kept.keep(pairs.join(first.select("key", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"), "n"), "key"), f"level{i}")
         kept.drop(f"pairs{i}")
         if level.isEmpty():
             break
-        found.append(pick(level))
+        found += [pick(level), among(level)]
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -215,6 +215,23 @@ def test_passages_whose_parts_stand_in_other_texts(spark):
     assert [r.doc_id for r in substring_dedup.passages(rows).collect()] == []
 
 
+def test_passages_whose_parts_stand_apart_in_other_texts(spark):
+    rng = random.Random(31)
+    docs, pairs = [], []
+    for k in range(12):  # the parts are edited apart, and stand in few or in many earlier texts
+        pieces = [sentence(rng, 24) for _ in range(3)]
+        for p in pieces:
+            docs += [sentence(rng, 50) + " " + p + " " + sentence(rng, 50) for _ in range(12 if k % 2 else 1)]
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [" ".join([sentence(rng, 50), pieces[0], sentence(rng, 4), pieces[1], sentence(rng, 4), pieces[2], sentence(rng, 50)]) for _ in range(2)]
+    pieces = [sentence(rng, 40) for _ in range(2)]  # one earlier text has both parts, far from each other
+    docs += [" ".join([pieces[1], sentence(rng, 200), pieces[0]]) for _ in range(12)]
+    pairs.append((len(docs), len(docs) + 1))
+    docs += [" ".join([sentence(rng, 50), *pieces, sentence(rng, 50)]) for _ in range(2)]
+    got = substring_dedup.passages(frame(spark, docs)).collect()
+    assert set(pairs) <= {tuple(sorted((r.doc_id, r.ref_doc_id))) for r in got}
+
+
 def test_jaccard_join_with_null_ids(spark):
     rng = random.Random(14)
     base = sentence(rng, 80).split()
