@@ -31,10 +31,10 @@ from .components import components
 
 BITS, DIFFER = 63, 26
 HASHES, ROWS, KEYS = 24, 3, 16
-#: A word is common if it is more than one in COMMON of the words; the sample of lines that are counted has about SAMPLE lines.
-COMMON, SAMPLE = 500, 100_000
-#: A key is hot if more than one in HOT of the sample's lines have it.
-HOT = 1000
+#: A word is common if it is more than one in COMMON of all words.
+COMMON = 500
+#: A key is hot if more than one in HOT of a sample of about SAMPLE lines have it; that splits keys and changes no result.
+HOT, SAMPLE = 1000, 100_000
 LEAST_WORDS, SIMILARITY = 5, 0.8
 #: Words that a counter of nine bits can count.
 PIECE = 500
@@ -84,11 +84,10 @@ def profiles(texts: DataFrame, common: list[str], by: list[str], carry: list[str
     return short.unionByName(long).select(*by, *carry, "h", *odd, F.array(*keys).alias("keys"))
 
 
-def common_words(lines: DataFrame, n: int, kept: Kept) -> list[str]:
-    """The words, fewer than COMMON, that are each more than one in COMMON of a sample."""
-    sample = lines.where(F.pmod("k1", F.lit(1 + n // SAMPLE)) == 0)
-    counts = kept.keep(sample.select(F.explode(F.split("norm", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("c")), "counts")
-    total = counts.agg(F.sum("c")).first()[0] or 0
+def common_words(lines: DataFrame) -> list[str]:
+    """The words, fewer than COMMON, that are each more than one in COMMON of all words of all lines."""
+    total = lines.agg(F.sum("words")).first()[0] or 0
+    counts = lines.select(F.explode(F.split("norm", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
     return [r.w for r in counts.where(F.col("c") * COMMON > total).select("w").collect()]
 
 
@@ -119,7 +118,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     count_words = F.size(F.split("norm", " ")).alias("words")
     lines = kept.keep(lines.select("id", "mark", "at", "norm", count_words, F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2")), "lines")
     place = F.struct(F.col("id").isNull().alias("n"), "id", "mark", "at")
-    common = common_words(lines, lines.count(), kept)
+    common = common_words(lines)
     # one number holds how often a line occurs, above its count of words
     size = F.shiftleft(F.least("n", F.lit(2**30)), 32).bitwiseOR(F.col("words").cast("long")).alias("size")
     keys = F.when(F.col("words") >= least_words, F.col("keys"))  # shorter lines have none
@@ -186,7 +185,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     decided = kept.keep(decided, "decided")
     drop = lines.select("id", "mark", "at", "k1", "k2").join(decided, ["k1", "k2"]).where(~place.eqNullSafe(F.col("best")))
     drop = kept.keep(drop.groupBy("id", "mark").agg(F.collect_set("at").alias("gone")), "drop")  # small, it lets the documents stay where they are
-    kept.drop("lines", "names", "counts", "hot")
+    kept.drop("lines", "names", "hot")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.col(id_col).cast("long").alias("id"), mark.alias("mark")).alias("r")
     rows = rows.join(drop.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.mark") == F.col("g.mark")), "left").select("d", "gone", F.split(F.col(f"d.{text_col}"), "\n", -1).alias("parts"))
     # the lambda's p is the split text once, not once for each line

@@ -182,6 +182,18 @@ def test_line_dedup_ties_fuzzy_lines(spark):
     assert (tied[:, 0] >= 0.9).all() and (tied[:, 1] >= 0.75).all() and tied.mean() >= 0.9
 
 
+def test_line_dedup_counts_all_words(spark, monkeypatch):
+    rng = random.Random(18)
+    docs = [" ".join(rng.choice([f"c{rng.randrange(300)}", f"w{rng.randrange(3000)}"]) for _ in range(12)) for _ in range(400)] + ["all equal words " + "here " * 9] * 9
+    seen, profiles = [], line_dedup.profiles
+    monkeypatch.setattr(line_dedup, "SAMPLE", 20)
+    monkeypatch.setattr(line_dedup, "profiles", lambda texts, common, *more: seen.append(set(common)) or profiles(texts, common, *more))
+    line_dedup.dedup_lines(frame(spark, docs)).count()
+    count = Counter(w for d in docs for w in d.split())
+    want = {w for w, c in count.items() if c * line_dedup.COMMON > sum(count.values())}
+    assert len(want) > 10 and seen and all(x == want for x in seen)
+
+
 def test_passages_are_found(spark):
     rng = random.Random(9)
     shared = sentence(rng, 70).split()
