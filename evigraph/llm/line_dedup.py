@@ -8,7 +8,9 @@ twice of what an edit similarity of 0.8 brings about. Two further numbers hold t
 word turns two of them at most, a word more or less one, so lines with more unequal bits than the edit similarity allows are
 not similar and never verified; this loses no pair.
 Under a key every line is first compared with the key's most frequent line; then only lines that are not connected
-yet are compared with each other, so a group of thousands of near copies doesn't make all its pairs. A key that holds more
+yet are compared with each other, so a group of thousands of near copies doesn't make all its pairs. Under a crowded key
+these also need parities in 512 bins that allow for the similarity, and a pair counts under the first such key it meets under;
+neither loses a pair. A key that holds more
 than one in HOT of the lines falls into parts of that size, and the most frequent lines of its parts meet each other.
 Pairs are verified by edit similarity in words, and the first occurrence in the order of (id, place) is kept of each
 connected group.
@@ -36,6 +38,9 @@ COMMON = 500
 #: A key is hot if more than one in HOT of a sample of about SAMPLE lines have it; that splits keys and changes no result.
 HOT, SAMPLE = 1000, 100_000
 LEAST_WORDS, SIMILARITY = 5, 0.8
+#: A key that more than CROWD lines meet under is crowded; its lines get finer parities, in 64 bins for each of FINE numbers,
+#: and a task compares about AT_ONCE of their pairs.
+CROWD, FINE, AT_ONCE = 64, 8, 4_000_000
 #: Words that a counter of nine bits can count.
 PIECE = 500
 #: Lines, and then keys, are shuffled in so many parts one after another: the disk holds one part at a time.
@@ -141,12 +146,18 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     hashed = names.select("line_id", "h", "odd", "odd2", "size")
     count = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
 
+    edits = lambda n, m: F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)  # noqa: E731  of words, at most
+
+    def most_odd(to: str) -> Column:
+        """Unequal parities at most: an edit beyond the unequal counts turns two."""
+        n, m = count("size"), count(f"{to}_size")
+        return 2 * edits(n, m) - F.abs(n - m)
+
     def close(to: str) -> Column:
         """A line and its other, whose columns begin with `to`, are close in their hashes, and their words' counts and parities let them be similar."""
         n, m = count("size"), count(f"{to}_size")
-        edits = F.floor(F.greatest(n, m) * (1 - similarity) + 1e-9)  # of words, at most; each beyond the unequal counts turns two parities
         differ = lambda c: F.bit_count(F.col(c).bitwiseXOR(F.col(f"{to}_{c}")))
-        return (differ("h") <= DIFFER) & (F.abs(n - m) <= edits) & (differ("odd") + differ("odd2") <= 2 * edits - F.abs(n - m))
+        return (differ("h") <= DIFFER) & (F.abs(n - m) <= edits(n, m)) & (differ("odd") + differ("odd2") <= most_odd(to))
 
     # the keys that several lines have, and every such line against the most frequent line under its part of the key
     seen = ["h", "odd", "odd2", "size"]
@@ -166,17 +177,34 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     # lines that are not tied yet against all they meet, then different components that meet
     met = kept.keep(met.select("key", "line_id", *seen).join(tied, "line_id", "left"), "marked")
     kept.drop("met", *(f"several{i}" for i in range(PARTS)))
-    other = met.select("key", F.col("line_id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in seen], F.col("component").alias("of"))
-    near = close("to")
-    rest = met.where("component IS NULL").join(other, "key").where((F.col("of").isNotNull() | (F.col("line_id") < F.col("to"))) & near)
-    groups = met.where("component IS NOT NULL")
+    crowd = kept.keep(met.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > CROWD), "crowd")
+    sparse, near = met.join(crowd, "key", "left_anti"), close("to")
+    named_to = lambda df, *more: df.select("key", F.col("line_id").alias("to"), *[F.col(c).alias(f"to_{c}") for c in (*seen, *more)], F.col("component").alias("of"))
+    other = named_to(sparse)
+    rest = sparse.where("component IS NULL").join(other, "key").where((F.col("of").isNotNull() | (F.col("line_id") < F.col("to"))) & near)
+    groups = sparse.where("component IS NOT NULL")
     several = groups.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     groups = groups.join(several, "key", "left_semi")
     cross = groups.join(other, "key").where((F.col("component") < F.col("of")) & near)
-    rest = rest.select("line_id", "to").unionByName(cross.select("line_id", "to"))
+    crowded = met.join(crowd, "key")
+    crowded = crowded.join(crowded.groupBy("line_id").agg(F.collect_set("key").alias("crowds")), "line_id")
+    ids = _ids(crowded.select("line_id").distinct(), names, kept, "crowd")
+    fine = [f"f{j}" for j in range(FINE)]
+    bins = _norms(ids, lines).select("line_id", F.explode(F.split("norm", " ")).alias("w")).select("line_id", F.xxhash64(F.lit(2), "w").alias("x"))
+    bins = bins.groupBy("line_id").agg(*[F.expr(f"bit_xor(if(pmod(x, {FINE}) = {j}, shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), 0L))").alias(c) for j, c in enumerate(fine)])
+    crowded = kept.keep(crowded.join(bins, "line_id"), "crowded")
+    parts = F.ceil(F.col("c") * F.col("c") / AT_ONCE).cast("int")
+    one = crowded.withColumn("part", F.pmod(F.xxhash64("line_id"), parts).cast("int"))
+    two = crowded.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    two = named_to(two, "crowds", *fine, "part").withColumnRenamed("to_part", "part")
+    unequal = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"to_{c}"))) for c in fine])
+    apart = F.coalesce(F.col("component") != F.col("of"), F.lit(True))
+    first = F.array_min(F.array_intersect("crowds", "to_crowds")) == F.col("key")
+    dense = one.join(two, ["key", "part"]).where((F.col("line_id") < F.col("to")) & apart & near & (unequal <= most_odd("to")) & first)
+    rest = rest.select("line_id", "to").unionByName(cross.select("line_id", "to")).unionByName(dense.select("line_id", "to"))
     rest = _verified(rest.select(F.greatest("line_id", "to").alias("a"), F.least("line_id", "to").alias("b")).distinct(), lines, names, similarity, kept, "rest")
     groups = components(star.select("a", "b").unionByName(rest.select("a", "b")), kept, "groups")
-    kept.drop("rest-pairs", "rest-ids", "rest-signs", "marked")
+    kept.drop("rest-pairs", "rest-ids", "rest-signs", "marked", "crowd", "crowd-ids", "crowded")
 
     # the first occurrence of each group; the others, and repeats of a line, go
     best = groups.join(names.select(F.col("line_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
@@ -195,18 +223,26 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     return rows.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`").alias(c) for c in own], n, F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"))
 
 
+def _ids(ids: DataFrame, names: DataFrame, kept: Kept, name: str) -> DataFrame:
+    """The lines of `ids` (line_id) with their hashes and first occurrence."""
+    return kept.keep(names.join(ids, "line_id", "left_semi").select("line_id", "k1", "k2", F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.at").alias("of_at")), f"{name}-ids")
+
+
+def _norms(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line_id, norm) of the lines of _ids(). Only their first occurrence leaves the scan of all lines: their hashes are
+    broadcast up to MOST_IDS, joined beyond it."""
+    first = F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")) & (F.col("at") == F.col("of_at"))
+    return lines.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, ["k1", "k2"]).where(first).dropDuplicates(["line_id"]).select("line_id", "norm")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, names: DataFrame, similarity: float, kept: Kept, name: str) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity in words is high enough: a word is one of 2**14 signs to levenshtein().
-    They are verified in parts of about PAIRS_AT_ONCE, so the disk holds the words of one part's pairs at a time.
-
-    Only the first occurrence of lines that stand in a pair leaves the scan of all lines: their hashes are broadcast up to MOST_IDS, joined beyond it."""
+    They are verified in parts of about PAIRS_AT_ONCE, so the disk holds the words of one part's pairs at a time."""
     pairs = kept.keep(pairs, f"{name}-pairs")
     parts = 1 + pairs.count() // PAIRS_AT_ONCE
-    ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    ids = kept.keep(names.join(ids, "line_id", "left_semi").select("line_id", "k1", "k2", F.col("first.id").alias("of"), F.col("first.mark").alias("of_mark"), F.col("first.at").alias("of_at")), f"{name}-ids")
+    ids = _ids(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), names, kept, name)
     sign = F.decode(F.unhex(F.array_join(F.transform(F.split("norm", " "), lambda w: F.hex(F.lit(0x5000) + F.xxhash64(w).bitwiseAND(F.lit(0x3FFF).cast("long")))), "")), "UTF-16BE")
-    first = F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark")) & (F.col("at") == F.col("of_at"))
-    own = lines.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, ["k1", "k2"]).where(first).dropDuplicates(["line_id"]).select("line_id", sign.alias("sign"))
+    own = _norms(ids, lines).select("line_id", sign.alias("sign"))
     own = kept.keep(own, f"{name}-signs")
     text = lambda c, s: own.select(F.col("line_id").alias(c), F.col("sign").alias(s))
     most = f"cast(floor(greatest(length(s), length(t)) * {1 - similarity} + 1e-9) as int)"

@@ -182,6 +182,33 @@ def test_line_dedup_ties_fuzzy_lines(spark):
     assert (tied[:, 0] >= 0.9).all() and (tied[:, 1] >= 0.75).all() and tied.mean() >= 0.9
 
 
+def test_line_dedup_verifies_few_pairs_of_a_crowded_key(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for k in range(150):  # 18 words apart, where 12 make a near copy; every tenth has one
+        line = list(base)
+        for i in rng.sample(range(60), 9):
+            line[i] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(line))
+        if k % 10 == 0:
+            docs.append(" ".join([*line[:-3], "near", "by"]))
+    docs += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(160)]  # so the base's words are not common
+    asked, verified = {}, line_dedup._verified
+
+    def counted(pairs, *more):
+        asked[more[-1]] = pairs.count()
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    monkeypatch.setattr(line_dedup, "CROWD", 4, raising=False)
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    few = asked["rest"]
+    assert all(got[i] for i, d in enumerate(docs) if d.endswith("near by"))
+    monkeypatch.setattr(line_dedup, "CROWD", 10**9, raising=False)  # crowded or not, the same lines fall
+    assert got == {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} and asked["rest"] > 4 * few, (asked, few)
+
+
 def test_line_dedup_counts_all_words(spark, monkeypatch):
     rng = random.Random(18)
     docs = [" ".join(rng.choice([f"c{rng.randrange(300)}", f"w{rng.randrange(3000)}"]) for _ in range(12)) for _ in range(400)] + ["all equal words " + "here " * 9] * 9
