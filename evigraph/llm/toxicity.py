@@ -2,8 +2,9 @@
 
 A word's embedding is the mean of hashed rows for the word and its three-letter pieces. Filters of several widths
 slide over the words, the largest response of each filter over the whole text feeds a logistic unit. It is trained
-with Adagrad; gradients flow through the positions of the maxima only. Thresholds for rejection are calibrated for
-each language on training rows that the fit has not seen; language, source and id are never inputs of the score.
+with Adagrad; gradients flow through the positions of the maxima only. All labelled rows outside the held-out fifth are
+used: a first shard fits a model, every other goes on from it with its own rows, and the weights are averaged. Thresholds for rejection are calibrated
+for each language on the fifth of the training rows that no fit has seen; language, source and id are never inputs of the score.
 
 Defined results: a null or empty text is scored as one blank word. Repeated rows are scored each. Without any
 training row every score is 0. Labels that are null or repeated for a document: nulls are left out, a document counts
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import passes, words
+from .common import Kept, passes, words
 
 ROWS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 12
-#: The bound of the sample that the classifier is fitted to: labelled rows, in the order of a hash of their ids.
-TRAIN_ROWS = 6_000
-#: Characters of the sample, half for either class.
-TRAIN_BYTES = 64_000_000
-#: Steps of gradient descent; each takes half its rows from either class.
+#: Labelled rows, and characters, that a shard has, about; a shard also has about LEAST_OF_CLASS rows of the rarer class.
+TRAIN_ROWS, TRAIN_BYTES, LEAST_OF_CLASS = 6_000, 64_000_000, 50
+#: Models that a task averages at once.
+MERGED = 16
+#: Steps of gradient descent at least, more until each row was taken; each takes half its rows from either class.
 STEPS, BATCH, RATE, SEED = 1000, 32, 0.1, 5
 CACHE_WORDS = 300_000
 PIECE_WORDS = 100_000
@@ -50,6 +50,7 @@ class Model:
         self.out = (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.3).astype(np.float32)
         self.bias = np.float32(-1.0)
         self.thresholds: dict[str, float] = {}
+        self.sums = None  # of squared gradients, to go on fitting
         self.cache: dict[str, int] = {}
         self.rows = np.zeros((0, DIM), np.float32)
 
@@ -130,10 +131,14 @@ class Model:
         eps = np.float32(1e-6)
         g_e = np.full((ROWS, 1), 1e-3, np.float32)
         g_w, g_b, g_out, g_bias = [np.full_like(w, 1e-3) for w in self.w], np.full_like(self.b, 1e-3), np.full_like(self.out, 1e-3), np.float32(1e-3)
+        if self.sums:
+            g_e, g_w, g_b, g_out, g_bias = self.sums
         reach = max(WIDTHS) - 1
         classes = [np.flatnonzero(y == c) for c in (0, 1)]
-        for _ in range(steps):
-            part = np.concatenate([rng.choice(c, BATCH // 2) for c in classes])
+        steps = max(steps, *(-(-len(c) // (BATCH // 2)) for c in classes))
+        turns = [np.concatenate([rng.permutation(c) for _ in range(-(-steps * BATCH // 2 // len(c)))]) for c in classes]
+        for step in range(steps):
+            part = np.concatenate([t[step * BATCH // 2 : (step + 1) * BATCH // 2] for t in turns])
             ids = np.unique(np.concatenate([docs[i] for i in part] + [np.zeros(0, np.int64)]))
             if not len(ids):
                 continue
@@ -184,14 +189,15 @@ class Model:
                 np.add.at(d_e, inverse, d_rows)
                 g_e[touched] += (d_e**2).mean(1, keepdims=True)
                 self.e[touched] -= RATE * d_e / np.sqrt(g_e[touched] + eps)
+        self.sums = g_e, g_w, g_b, g_out, g_bias
         self.cache, self.rows = {}, np.zeros((0, DIM), np.float32)
 
 
-def calibrate(scores: np.ndarray, y: np.ndarray, weight: float) -> float:
-    """The threshold with fewest errors, in the middle of the widest such gap; a row of class 0 counts `weight` times."""
+def calibrate(scores: np.ndarray, y: np.ndarray) -> float:
+    """The threshold with fewest errors, in the middle of the widest such gap."""
     order = np.argsort(scores)
     s, t = scores[order], y[order].astype(float)
-    errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((weight * (1 - t))[::-1])[::-1], [0]])
+    errors = np.concatenate([[0], np.cumsum(t)]) + np.concatenate([np.cumsum((1 - t)[::-1])[::-1], [0]])
     best = np.flatnonzero(errors <= errors.min() + 1e-9)
     edges = np.concatenate([[0.0], s, [1.0]])
     i = best[np.argmax(edges[best + 1] - edges[best])]
@@ -202,59 +208,120 @@ def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fitted(sample: list[tuple[int, str, str, int]], sizes: dict[int, int]) -> Model:
-    """The model of (id, text, language, label) rows; sizes are the labelled rows of either class."""
-    sample = sorted(sample, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0]))
+def untrained() -> Model:
+    """The model that scores 0."""
     model = Model()
-    if len({r[3] for r in sample}) < 2:
-        model.out[:], model.bias = 0, np.float32(-30)
-        return model
-    split, lang, y = [words(r[1]) for r in sample], np.array([r[2] for r in sample]), np.array([r[3] for r in sample], np.float32)
-    fold = np.arange(len(y)) % 5 == 4
-    weight = (sizes[0] / (y == 0).sum()) / (sizes[1] / (y == 1).sum())  # classes are drawn apart
-    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
-        fold[:] = True
-    fit = ~fold if not fold.all() else fold
-    model.fit([w for w, f in zip(split, fit, strict=True) if f], y[fit])
-    cut = np.clip(calibrate(model.score(split)[fold], y[fold], weight), 1e-6, 1 - 1e-6)
-    model.bias -= np.float32(np.log(cut / (1 - cut)))  # the best cut over all languages becomes 0.5
-    scores = model.score(split)
+    model.out[:], model.bias = 0, np.float32(-30)
+    return model
+
+
+def average(models: list[tuple[int, Model]]) -> Model:
+    """The mean of models' weights, each counted as often as it has rows."""
+    total, out = sum(n for n, _ in models), Model()
+    mean = lambda get: sum(np.float64(n / total) * get(m) for n, m in models).astype(np.float32)
+    out.e, out.b, out.out, out.bias = mean(lambda m: m.e), mean(lambda m: m.b), mean(lambda m: m.out), mean(lambda m: m.bias)
+    out.w = [mean(lambda m, j=j: m.w[j]) for j in range(len(WIDTHS))]
+    return out
+
+
+def calibrated(model: Model, scores: np.ndarray, y: np.ndarray, lang: np.ndarray) -> Model:
+    """The model whose best cut over all languages is 0.5, with thresholds by language."""
+    logit = lambda p: np.log(p / (1 - p))
+    scores = np.clip(scores, 1e-13, 1 - 1e-13)
+    shift = logit(np.clip(calibrate(scores, y), 1e-6, 1 - 1e-6))
+    model.bias -= np.float32(shift)
+    scores = 1 / (1 + np.exp(shift - logit(scores)))
     model.thresholds = {"": 0.5}
-    for name in sorted(set(lang[fold]) - {""}):
-        at = fold & (lang == name)
+    for name in sorted(set(lang) - {""}):
+        at = lang == name
         if min(y[at].sum(), (1 - y[at]).sum()) >= 5:
-            model.thresholds[str(name)] = calibrate(scores[at], y[at], weight)
+            model.thresholds[str(name)] = calibrate(scores[at], y[at])
     return model
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model of all of a task."""
+    sofar: tuple[int, Model] | None = None
+    for batch in batches:
+        for n, raw in zip(batch.column("n").to_pylist(), batch.column("model"), strict=True):
+            got = (n, pickle.loads(raw.as_py()))
+            sofar = got if sofar is None else (sofar[0] + n, average([sofar, got]))
+    if sofar:
+        yield pa.RecordBatch.from_arrays([pa.array([sofar[0]], pa.int64()), pa.array([pickle.dumps(sofar[1])], pa.binary())], ["n", "model"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> Model:
-    """Fits the classifier to at most `rows` labelled documents outside the held-out fifth, half of them of either class.
+    """Fits the classifier to all labelled documents outside the held-out fifth, in shards of about `rows` and `most_bytes`.
 
-    One task reads the sample in the order of a hash of the ids, whole texts up to `most_bytes` for either class, and
-    fits the model; only its weights, about 2 MB, come to the driver."""
+    A task fits one shard at a time, the first before all others; others average the models, MERGED at once; only weights, about 2 MB a model, and the
+    scores of the rows that calibrate come together. A repeated id counts once."""
+    kept = Kept(docs.sparkSession)
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_doc")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
-    sizes = {r._y: r.n for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    marked = reduce(DataFrame.unionByName, [marked.where(F.col("_y") == c).orderBy(F.xxhash64("_doc"), "_doc").limit(rows // 2) for c in (0, 1)])
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"))
-    sample = texts.join(F.broadcast(marked), "_doc").repartition(1).sortWithinPartitions(F.xxhash64("_doc"), "_doc", F.xxhash64("text"))
+    texts = texts.join(marked, "_doc").withColumn("fold", F.pmod(F.xxhash64("_doc"), F.lit(5)) == 4)
+    data = kept.keep(texts, "labelled")
+    sizes = data.groupBy("fold", "_y").agg(F.countDistinct("_doc").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    if len({r._y for r in sizes}) < 2:
+        return untrained()
+    apart = len(sizes) == 4  # both classes on both sides
+    fit = data.where("NOT fold") if apart else data
+    sizes = [r for r in sizes if not (apart and r.fold)]
+    rare = min(sum(r.n for r in sizes if r._y == c) for c in (0, 1))
+    shards = max(1, min(max(-(-sum(r.n for r in sizes) // rows), -(-sum(r.chars for r in sizes) // most_bytes)), rare // LEAST_OF_CLASS))
+    fit = fit.withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "_doc"), F.lit(shards)).cast("int"))
+    order = [F.col("shard"), F.xxhash64("_doc"), F.col("_doc"), F.xxhash64("text")]
+    shard = lambda of, n: fit.where(of).repartition(n, "shard").sortWithinPartitions(*order).select("shard", "_doc", "text", "_y")
+
+    start = None
+
+    def fitted(taken: list[tuple[str, int]], shard: int) -> Iterator[pa.RecordBatch]:
+        y = np.array([t[1] for t in taken], np.float32)
+        if len(set(y)) == 2:
+            model = pickle.loads(start.value) if start else Model()
+            model.fit([words(t[0]) for t in taken], y, steps=0 if start else STEPS)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(y)], pa.int64()), pa.array([pickle.dumps(model)], pa.binary())], ["shard", "n", "model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: list[tuple[int, str, str, int]] = []
-        seen: set[int] = set()
-        left = [most_bytes // 2] * 2
+        taken: list[tuple[str, int]] = []
+        last = None
         for batch in batches:
-            for doc, text, lang, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left[y] -= len(text)
-                if doc in seen or left[y] < 0:  # a repeated id counts once; a text that is too long for the rest is left out
-                    left[y] += len(text)
-                    continue
-                seen.add(doc)
-                taken.append((doc, text, lang, y))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted(taken, sizes))], pa.binary())], ["model"])
-
-    row = sample.select("_doc", "text", "lang", "_y").mapInArrow(run, "model binary").first()
-    return pickle.loads(row.model) if row else fitted([], sizes)
+            for shard, doc, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last and shard != last[0]:
+                    yield from fitted(taken, last[0])
+                    taken = []
+                if (shard, doc) != last:
+                    taken.append((text, y))
+                last = (shard, doc)
+        if last:
+            yield from fitted(taken, last[0])
+
+    kind = "shard long, n long, model binary"
+    models = kept.keep(shard("shard = 0", 1).mapInArrow(run, kind), "first")
+    if shards > 1:
+        row = models.select("model").first()
+        start = docs.sparkSession.sparkContext.broadcast(bytes(row.model)) if row else None
+        models = kept.keep(models.unionByName(shard("shard > 0", shards - 1).mapInArrow(run, kind)), "models")
+    left, i = shards, 0
+    while left > 1:
+        left, i = -(-left // MERGED), i + 1
+        models = models.repartition(left, F.col("shard") % left).drop("shard").mapInArrow(_merge, "n long, model binary")
+        models = kept.keep(models.withColumn("shard", F.monotonically_increasing_id()), f"models{i}")
+    row = models.select("model").first()
+    if row is None:
+        return untrained()
+    model = pickle.loads(row.model)
+    checked = (data.where("fold") if apart else data).dropDuplicates(["_doc"]).select(F.col("_doc").alias("doc_id"), "text", "lang", "_y")
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw in passes(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.score([words(t) for t in raw])), part.column("_y"), part.column("lang")], ["score", "y", "lang"])
+
+    got = checked.mapInArrow(judge, "score double, y int, lang string").toArrow()
+    kept.drop("labelled", "first", "models", *(f"models{k + 1}" for k in range(i)))
+    return calibrated(model, got["score"].to_numpy(), got["y"].to_numpy().astype(np.float32), np.array(got["lang"].to_pylist()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

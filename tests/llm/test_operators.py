@@ -342,3 +342,21 @@ def test_toxicity_learns(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(302))
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in test]) > 0.95
     assert 0 <= got[300].score < 0.5 and toxicity.train(frame_, marks.limit(0)).score([["a"]])[0] < 0.5
+
+
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    rng = random.Random(26)
+    texts = [" ".join([f"w{rng.randrange(60)}" for _ in range(20)] + ["vile"] * (i % 3 == 0)) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    docs = frame(spark, [*texts[:-1], texts[-1] + " word" * 2000])
+    fits, kept = [], toxicity.Kept.keep
+    monkeypatch.setattr(toxicity.Kept, "keep", lambda self, df, name: fits.append((name, kept(self, df, name))) or fits[-1][1])
+    monkeypatch.setattr(toxicity.Kept, "drop", lambda self, *names: None)
+    monkeypatch.setattr(toxicity, "LEAST_OF_CLASS", 10, raising=False)
+    model = toxicity.train(docs, labels, rows=100, most_bytes=20_000)
+    used = sum(r.n for r in dict(fits)["models"].collect())
+    every = dict(fits)["labelled"]
+    assert every.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    assert dict(fits)["models"].count() > 1 and used == every.where("NOT fold").count()
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert np.mean([r.predicted == (i % 3 == 0) for i, r in got.items() if r.held_out]) > 0.95
