@@ -9,8 +9,9 @@ word turns two of them at most, a word more or less one, so lines with more uneq
 not similar and never verified; this loses no pair.
 Under a key every line is first compared with the key's most frequent line; then only lines that are not connected
 yet are compared with each other, so a group of thousands of near copies doesn't make all its pairs. Under a crowded key
-these also need parities in 512 bins that allow for the similarity, and a pair counts under the first such key it meets under;
-neither loses a pair. A key that holds more
+these also need parities in 512 bins that allow for the similarity, and a pair counts under the first such key it meets under.
+Under a key of more than SPLIT lines two lines are compared if they also share one of their rarest words, a fifth of the
+line's and one more: similar lines share all but a fifth of their words, so one of these too. Neither loses a pair. A key that holds more
 than one in HOT of the lines falls into parts of that size, and the most frequent lines of its parts meet each other.
 Pairs are verified by edit similarity in words, and the first occurrence in the order of (id, place) is kept of each
 connected group.
@@ -23,6 +24,7 @@ of the input are replaced, all others are kept as they are. Lines of any length
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,9 +40,10 @@ COMMON = 500
 #: A key is hot if more than one in HOT of a sample of about SAMPLE lines have it; that splits keys and changes no result.
 HOT, SAMPLE = 1000, 100_000
 LEAST_WORDS, SIMILARITY = 5, 0.8
-#: A key that more than CROWD lines meet under is crowded; its lines get finer parities, in 64 bins for each of FINE numbers,
-#: and a task compares about AT_ONCE of their pairs.
-CROWD, FINE, AT_ONCE = 64, 8, 4_000_000
+#: A key that more than CROWD lines meet under is crowded; its lines' finer parities are compared, in 64 bins for each of FINE
+#: numbers. Lines under a key of more than SPLIT, so of more than two million pairs, meet under their rarest words.
+CROWD, FINE, SPLIT = 64, 8, 2000
+FINES = [f"f{j}" for j in range(FINE)]
 #: Words that a counter of nine bits can count.
 PIECE = 500
 #: Lines, and then keys, are shuffled in so many parts one after another: the disk holds one part at a time.
@@ -56,7 +59,7 @@ def normalised(line: Column) -> Column:
 
 
 def profiles(texts: DataFrame, common: list[str], by: list[str], carry: list[str]) -> DataFrame:
-    """(*by, *carry, words, h, odd, odd2, keys) of (*by, *carry, norm, words); `by` names a line, `carry` are its numbers; words may be in `by`.
+    """(*by, *carry, words, h, odd, odd2, f0 ..., keys) of (*by, *carry, norm, words); `by` names a line, `carry` are its numbers; words may be in `by`.
 
     Bit i of h is set if more than half of the words have it in their hash. Seven counters of nine bits share a number, so
     at most PIECE words are counted at once; adding 255 - n div 2 to a counter sets its top bit just if it is over n / 2.
@@ -75,6 +78,8 @@ def profiles(texts: DataFrame, common: list[str], by: list[str], carry: list[str
     least = [F.min(F.expr(f"shiftrightunsigned((shiftrightunsigned(x, {8 * (k % 4)}) & {2**31 - 1}L) ^ {c}L, s) + t")).alias(f"m{k}") for k, c in enumerate(points)]
     odd = ["odd", "odd2"]  # the sign of x chooses between them, its next six bits the bin
     least += [F.expr(f"bit_xor(if(x {sign} 0, shiftleft(1L, cast(shiftrightunsigned(x, 57) as int) & 63), 0L))").alias(c) for c, sign in zip(odd, (">=", "<"), strict=True)]
+    least += [F.expr(f"bit_xor(if(pmod(x, {FINE}) = {j}, shiftleft(1L, cast(shiftrightunsigned(x, 48) as int) & 63), 0L))").alias(c) for j, c in enumerate(FINES)]
+    odd += FINES
     mins = [*(f"m{k}" for k in range(HASHES)), *odd]
     same = [F.first(c).alias(c) for c in carry]
     lift = f"(255L - words div 2) * {mask}L"
@@ -134,7 +139,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
         each = each.select("k1", "k2", "words", "n", "norm", "first.id", "first.mark", "first.at")
         names = profiles(each, common, ["k1", "k2", "words"], ["id", "mark", "at", "n"])
         line_id = (F.monotonically_increasing_id() * PARTS + part).alias("line_id")
-        return kept.keep(names.select(line_id, "k1", "k2", place.alias("first"), "n", "h", "odd", "odd2", size, keys.alias("keys")), f"named{part}")
+        return kept.keep(names.select(line_id, "k1", "k2", place.alias("first"), "n", "h", "odd", "odd2", *FINES, size, keys.alias("keys")), f"named{part}")
 
     full = reduce(DataFrame.unionByName, [named(i) for i in range(PARTS)])
     names = kept.keep(full.drop("keys"), "names")
@@ -188,23 +193,22 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     cross = groups.join(other, "key").where((F.col("component") < F.col("of")) & near)
     crowded = met.join(crowd, "key")
     crowded = crowded.join(crowded.groupBy("line_id").agg(F.collect_set("key").alias("crowds")), "line_id")
-    ids = _ids(crowded.select("line_id").distinct(), names, kept, "crowd")
-    fine = [f"f{j}" for j in range(FINE)]
-    bins = _norms(ids, lines).select("line_id", F.explode(F.split("norm", " ")).alias("w")).select("line_id", F.xxhash64(F.lit(2), "w").alias("x"))
-    bins = bins.groupBy("line_id").agg(*[F.expr(f"bit_xor(if(pmod(x, {FINE}) = {j}, shiftleft(1L, cast(shiftrightunsigned(x, 58) as int)), 0L))").alias(c) for j, c in enumerate(fine)])
-    crowded = kept.keep(crowded.join(bins, "line_id"), "crowded")
-    parts = F.ceil(F.col("c") * F.col("c") / AT_ONCE).cast("int")
-    one = crowded.withColumn("part", F.pmod(F.xxhash64("line_id"), parts).cast("int"))
-    two = crowded.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    two = named_to(two, "crowds", *fine, "part").withColumnRenamed("to_part", "part")
-    unequal = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"to_{c}"))) for c in fine])
+    crowded = kept.keep(crowded.join(names.select("line_id", *FINES), "line_id"), "crowded")
+    unequal = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"to_{c}"))) for c in FINES])
     apart = F.coalesce(F.col("component") != F.col("of"), F.lit(True))
     first = F.array_min(F.array_intersect("crowds", "to_crowds")) == F.col("key")
-    dense = one.join(two, ["key", "part"]).where((F.col("line_id") < F.col("to")) & apart & near & (unequal <= most_odd("to")) & first)
-    rest = rest.select("line_id", "to").unionByName(cross.select("line_id", "to")).unionByName(dense.select("line_id", "to"))
+    alike = (F.col("line_id") < F.col("to")) & apart & near & (unequal <= most_odd("to")) & first
+    few, many = crowded.where(F.col("c") <= SPLIT), crowded.where(F.col("c") > SPLIT)
+    dense = few.join(named_to(few, "crowds", *FINES), "key").where(alike).select("line_id", "to")
+    if not many.isEmpty():
+        ids = _ids(many.select("line_id").distinct(), names, kept, "crowd")
+        many = kept.keep(many.join(_rarest(_norms(ids, lines), edits), "line_id"), "split")
+        by_word = named_to(many, "crowds", *FINES, "w").withColumnRenamed("to_w", "w")
+        dense = dense.unionByName(many.join(by_word, ["key", "w"]).where(alike).select("line_id", "to"))
+    rest = rest.select("line_id", "to").unionByName(cross.select("line_id", "to")).unionByName(dense)
     rest = _verified(rest.select(F.greatest("line_id", "to").alias("a"), F.least("line_id", "to").alias("b")).distinct(), lines, names, similarity, kept, "rest")
     groups = components(star.select("a", "b").unionByName(rest.select("a", "b")), kept, "groups")
-    kept.drop("rest-pairs", "rest-ids", "rest-signs", "marked", "crowd", "crowd-ids", "crowded")
+    kept.drop("rest-pairs", "rest-ids", "rest-signs", "marked", "crowd", "crowd-ids", "crowded", "split")
 
     # the first occurrence of each group; the others, and repeats of a line, go
     best = groups.join(names.select(F.col("line_id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
@@ -235,6 +239,19 @@ def _norms(ids: DataFrame, lines: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, ["k1", "k2"]).where(first).dropDuplicates(["line_id"]).select("line_id", "norm")
 
 
+def _rarest(norms: DataFrame, edits: Callable[[Column, Column], Column]) -> DataFrame:
+    """(line_id, w) of each line's rarest words, one more than the edits it allows; w tells a word's occurrences in the line apart.
+
+    Similar lines share all but that many of the longer one's words, so at least one of these, in any order that is the same for all lines."""
+    words = norms.select("line_id", F.size(F.split("norm", " ")).alias("n"), F.explode(F.split("norm", " ")).alias("w"))
+    words = words.groupBy("line_id", F.xxhash64("w").alias("x")).agg(F.first("n").alias("n"), F.count("*").alias("times"))
+    lines = words.groupBy("x").agg(F.count("*").alias("lines"))
+    each = words.join(lines, "x").select("line_id", "n", "lines", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "x")
+    each = each.select("line_id", "n", "lines", F.xxhash64("x", "time").alias("w"))
+    rank = F.row_number().over(Window.partitionBy("line_id").orderBy("lines", "w"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= edits(F.col("n"), F.col("n")) + 1).select("line_id", "w")
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, names: DataFrame, similarity: float, kept: Kept, name: str) -> DataFrame:
     """Pairs (a, b) of line ids whose edit similarity in words is high enough: a word is one of 2**14 signs to levenshtein().
     They are verified in parts of about PAIRS_AT_ONCE, so the disk holds the words of one part's pairs at a time."""

@@ -209,6 +209,30 @@ def test_line_dedup_verifies_few_pairs_of_a_crowded_key(spark, monkeypatch):
     assert got == {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} and asked["rest"] > 4 * few, (asked, few)
 
 
+def test_line_dedup_splits_large_keys(spark, monkeypatch):
+    rng = random.Random(29)
+    base = [f"b{i}" for i in range(40)]
+    docs = []
+    for k in range(120):  # 16 of 40 words apart, where 8 make a near copy; every tenth has one, and words repeat
+        line = [w if i % 5 else "b1" for i, w in enumerate(base)]
+        for i in rng.sample(range(40), 8):
+            line[i] = f"x{rng.randrange(10**6)}"
+        docs.append(" ".join(line))
+        if k % 10 == 0:
+            docs.append(" ".join([*line[:-2], "near", "by"]))
+    docs += [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(100)]
+    split, ids = [], line_dedup._ids
+    monkeypatch.setattr(line_dedup, "_ids", lambda ids_, names, kept, name: (name == "crowd" and split.append(ids_.count())) or ids(ids_, names, kept, name))
+    got = []
+    for crowd, most in ((4, 10**9), (4, 8), (10**9, 10**9)):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        monkeypatch.setattr(line_dedup, "SPLIT", most, raising=False)
+        split.clear()
+        got.append({r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(frame(spark, docs)).collect()})
+        assert bool(split) == (crowd < most < 10**9), split  # the words of crowded lines are read again only to split a key
+    assert got[0] == got[1] == got[2] and all(got[0][i] for i, d in enumerate(docs) if d.endswith("near by"))
+
+
 def test_line_dedup_counts_all_words(spark, monkeypatch):
     rng = random.Random(18)
     docs = [" ".join(rng.choice([f"c{rng.randrange(300)}", f"w{rng.randrange(3000)}"]) for _ in range(12)) for _ in range(400)] + ["all equal words " + "here " * 9] * 9
