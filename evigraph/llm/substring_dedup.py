@@ -2,8 +2,9 @@
 
 Equal texts are one text. Of each text, the k-word windows whose hash is least among their neighbours (minimizers) are
 seeds; any run of K + W - 1 equal words shares one. Every occurrence of a seed is matched with the first text that has
-it, so a passage that thousands of texts share makes one match for each occurrence and not all pairs. A seed of at most FEW
-occurrences matches all their pairs. Where a text's neighbouring seeds of more occurrences belong to different first texts,
+it, so a passage that thousands of texts share makes one match for each occurrence and not all pairs. The second occurrence
+in a text is matched with the second in the first text and so on, counted round, so words that repeat side by side make one
+long chain and not one passage for each repeat. A seed of at most FEW occurrences matches all their pairs. Where a text's neighbouring seeds of more occurrences belong to different first texts,
 or to places of one that are far apart, the two together are a seed of the next level, whether or not changed words lie
 between them, and so on until none is left: texts that share a passage meet even if its parts stand in different earlier texts. The matches of two texts are chained by a Fenwick tree over the places in the first
 text: a chain ascends in both texts and pays for gaps. Chains are then aligned word by word between their seeds and
@@ -14,16 +15,18 @@ own, and the first texts of the parts are matched with the first of all. The sam
 
 Defined results: a null or empty text has no passage. Equal texts give a row that spans the text, if it is
 long enough; rows that repeat an id and its text give none, and rows without an id are reported with a null id. Passages
-repeated within one text only give none. Other columns are ignored. Texts are taken whole."""
+repeated within one text only give none. Other columns are ignored. Texts are taken whole; they are split into words once and
+held as 32 bits of each word's hash."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +37,8 @@ K, W = 6, 4
 LEAST_WORDS, IDENTITY = 50, 0.8
 #: Cost of a word of gap in a chain, where a seed is worth its K words; words looked at beyond both ends of a chain.
 GAP, MARGIN = 0.05, 60
-#: Stretches that a text is asked for at once, about.
-ASKS = 200
+#: Words that one numpy pass works on.
+PASS_WORDS = 500_000
 #: Occurrences of a seed up to which all their pairs are matched.
 FEW = 8
 #: Texts that are looked at for hot seeds, about; a seed is hot if more than one in HOT of them have it.
@@ -92,14 +95,41 @@ def chains(a: np.ndarray, b: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with `raw`, 32 bits for each word, instead of the text."""
     hasher = WordHash()
     for batch in batches:
         for part, texts in passes(batch):
-            got = [minimizers(hasher.of(words(t))) for t in texts]
-            n = np.array([len(s) for s, _ in got])
-            ids, order = np.repeat(part.column(0).to_numpy(), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([s for s, _ in got]))), pa.array(ids), pa.array(np.concatenate([p for _, p in got]).astype(np.int32)), pa.array(order.astype(np.int32))], ["seed", "id", "at", "ord"])
+            raw = [hasher.of(words(t)).astype(np.uint32).tobytes() for t in texts]
+            rest = part.drop_columns(["text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(raw, pa.binary())], [*rest.schema.names, "raw"])
+
+
+def _numbered(seed: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How often each seed stands earlier in its row."""
+    order = np.lexsort((row, seed))
+    s, r = seed[order], row[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (r[1:] != r[:-1])])
+    at = np.arange(len(s))
+    out = np.empty(len(s), np.int64)
+    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return out
+
+
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, id, at): above the place's 32 bits, `at` holds how often the seed stands earlier in the text."""
+    for batch in batches:
+        ids, raw = batch.column("id").to_numpy(), batch.column("raw").to_pylist()
+        edges = np.cumsum([0, *map(len, raw)]) // (4 * PASS_WORDS)
+        cuts = [0, *(np.flatnonzero(np.diff(edges)) + 1).tolist(), len(raw)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            got = [minimizers(np.frombuffer(x, np.uint32).astype(np.uint64)) for x in raw[lo:hi]]
+            n = [len(s) for s, _ in got]
+            if not sum(n):
+                continue
+            seed, row = np.concatenate([s for s, _ in got]), np.repeat(np.arange(lo, hi), n)
+            at = np.concatenate([p for _, p in got]).astype(np.int64) | (_numbered(seed, row) << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(seed)), pa.array(ids[row]), pa.array(at)], ["seed", "id", "at"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,22 +167,6 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ready(*held)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chain, side, lo, words) of the stretches that each text is asked for."""
-    hasher = WordHash()
-    for batch in batches:
-        for part, texts in passes(batch):
-            chain, side, low, raw = [], [], [], []
-            for text, asks in zip(texts, part.column("asks").to_pylist(), strict=True):
-                h = hasher.of(words(text)).astype(np.uint32)  # 32 bits tell the words of two stretches apart
-                for x in asks:
-                    chain.append(x["chain"])
-                    side.append(x["side"])
-                    low.append(x["lo"])
-                    raw.append(h[x["lo"] : x["hi"]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(chain, pa.int64()), pa.array(side, pa.int32()), pa.array(low, pa.int32()), pa.array(raw, pa.binary())], ["chain", "side", "lo", "raw"])
-
-
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of a longest common subsequence, by rows of bits."""
     rows: dict[int, int] = {}
@@ -197,32 +211,73 @@ def align(x: np.ndarray, y: np.ndarray, px: list[int], py: list[int]) -> tuple[i
     return px[0] - left, ax + right, py[0] - left, ay + right, matches + more + less
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "start", "end", "ref", "ref_start", "ref_end", "matches"]
+def _reach(lone: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Words that chains of a single seed span with extended ends, as align() finds them; a side is (hashes, first, end, seed) by numbers of words."""
+    spot, total = np.arange(MARGIN), np.full(len(lone), K)
+    for step in (1, -1):
+        there, room = [], []
+        for h, first, end, seed in sides:
+            start = seed[lone] + K if step > 0 else seed[lone] - 1
+            room.append(end[lone] - start if step > 0 else start - first[lone] + 1)
+            there.append(h[np.clip(start[:, None] + step * spot, 0, len(h) - 1)])
+        same = (there[0] == there[1]) & (spot < np.minimum(*room)[:, None])
+        gain = np.cumsum(np.where(same, 1, -2), 1)
+        best = gain.argmax(1)
+        total += np.where(gain[np.arange(len(lone)), best] > 0, best + 1, 0)
+    return total
+
+
+def _align(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "start", "end", "ref_doc_id", "ref_start", "ref_end", "matches"]
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
+        out, single = [], pa.compute.list_value_length(batch.column("places")).to_numpy() == 1
+        lone, sides = np.flatnonzero(single), []
+        if len(lone):  # most chains are single seeds, and few of them reach a passage's length
+            for raw, places, lo in (("raw_a", "places", "lo_a"), ("raw_b", "ref_places", "lo_b")):
+                column, at = batch.column(raw), batch.column(places)
+                edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+                firsts = at.flatten().to_numpy()[np.cumsum([0, *pa.compute.list_value_length(at).to_pylist()])[:-1]]
+                hashes = np.frombuffer(column.buffers()[2], np.uint32, count=edges[-1])
+                sides.append((hashes, edges[:-1], edges[1:], edges[:-1] + firsts - batch.column(lo).to_numpy()))
+            single[lone[_reach(lone, sides) >= least_words]] = False
+        for r in batch.filter(pa.array(~single)).to_pylist():
             x, y = np.frombuffer(r["raw_a"], np.uint32), np.frombuffer(r["raw_b"], np.uint32)
             a, b, c, d, m = align(x, y, [p - r["lo_a"] for p in r["places"]], [p - r["lo_b"] for p in r["ref_places"]])
-            out.append((r["id"], a + r["lo_a"], b + r["lo_a"], r["ref"], c + r["lo_b"], d + r["lo_b"], m))
+            out.append((r["doc_id"], a + r["lo_a"], b + r["lo_a"], r["ref_doc_id"], c + r["lo_b"], d + r["lo_b"], m))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], names)
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """(id, ref, at, ref_at): the later occurrences of a key in a text, `nth` from 0, stand with those of its first text, counted round."""
+    cols = ["id", "ref", "at", "ref_at"]
+    places = rows.where("id = ref").groupBy("key", "part").agg(F.sort_array(F.collect_list("at")).alias("spots")).where(F.size("spots") > 1)
+    later = rows.where("id != ref AND nth > 0").join(places, ["key", "part"], "left")
+    later = later.withColumn("ref_at", F.expr("if(spots IS NULL, ref_at, get(spots, nth % size(spots)))"))
+    return rows.where("id != ref AND nth = 0").select(*cols).unionByName(later.select(*cols))
+
+
 def _matches(texts: DataFrame, least_words: int, kept: Kept) -> DataFrame:
     """(id, ref, at, ref_at): places of seeds in texts, each with the place in the first text that has the seed."""
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 + texts.count() // SAMPLE)) == 0).select("id", "text")
-    seeds = "seed long, id long, at int, ord int"
-    hot = sample.mapInArrow(_seeds, seeds).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 20 + sample.count() / HOT)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 + texts.count() // SAMPLE)) == 0).select("id", "raw")
+    seeds = "seed long, id long, at long"
+    hot = sample.mapInArrow(_seeds, seeds).where("shiftright(at, 32) = 0").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 20 + sample.count() / HOT)
     hot = kept.keep(hot.select("seed", F.lit(True).alias("hot")), "hot")  # a bounded sample has few such seeds
-    occurs = texts.select("id", "text").mapInArrow(_seeds, seeds).join(F.broadcast(hot), "seed", "left")
+    occurs = texts.select("id", "raw").mapInArrow(_seeds, seeds).join(F.broadcast(hot), "seed", "left")
     occurs = occurs.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).otherwise(-1)).drop("hot")
     order = Window.partitionBy("seed", "part").orderBy("id", "at")
     top = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = F.count("*").over(Window.partitionBy("seed", "part")).alias("n")
-    shared = occurs.select("seed", "part", "id", "at", F.first("id").over(top).alias("ref"), F.first("at").over(top).alias("ref_at"), F.lead("id").over(order).alias("next"), whole)
-    shared = shared.where("id != ref OR next != id OR (part >= 0 AND at = ref_at)").select(F.col("seed").alias("key"), "part", "id", "at", "ref", "ref_at", F.when(F.col("part") < 0, F.col("n")).alias("n"))
-    shared = kept.keep(shared, "shared")
-    pick = lambda df: df.where("id != ref").select("id", "ref", "at", "ref_at")
+    every = Window.partitionBy("seed", "part")
+    whole, last = F.count("*").over(every).alias("n"), F.max("id").over(every).alias("last")
+    shared = occurs.select("seed", "part", "id", "at", F.first("id").over(top).alias("ref"), F.first("at").over(top).alias("ref_at"), F.lead("id").over(order).alias("next"), whole, last)
+    # of the first text only its last occurrence is `main`; the others are there to be matched
+    shared = shared.where("last != ref OR part >= 0").withColumn("main", F.expr("id != ref OR coalesce(next != id, false) OR (part >= 0 AND at = ref_at)"))
+    low = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)).cast("int").alias(c)
+    nth = F.shiftright("at", 32).cast("int").alias("nth")
+    shared = kept.keep(shared.select(F.col("seed").alias("key"), "part", "id", low("at"), nth, "ref", low("ref_at"), F.when(F.col("part") < 0, F.col("n")).alias("n"), "main"), "shared")
+    tops = shared.where("part >= 0 AND id = ref").select("key", "id", "at", "nth")  # the first texts of the parts of hot seeds
+    first = tops.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f")).select("key", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
+    found = [_placed(shared), _placed(tops.join(first, "key").withColumn("part", F.lit(-1)))]
+    shared = shared.where("main")
 
     def among(level: DataFrame) -> DataFrame:
         """The pairs of few occurrences beside those with the first."""
@@ -230,9 +285,7 @@ def _matches(texts: DataFrame, least_words: int, kept: Kept) -> DataFrame:
         earlier = few.select("key", F.col("id").alias("ref"), F.col("at").alias("ref_at"))
         return few.join(earlier, "key").where("ref < id").select("id", "ref", "at", "ref_at")
 
-    tops = shared.where("part >= 0 AND id = ref AND at = ref_at")  # the first texts of the parts of hot seeds
-    first = tops.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f")).select("key", F.col("f.id").alias("ref"), F.col("f.at").alias("ref_at"))
-    found = [pick(shared), among(shared), pick(tops.select("key", "id", "at").join(first, "key"))]
+    found.append(among(shared))
     # neighbours of different first texts, in the first level of places far apart in one too; after `least_words` levels a key alone spans a passage
     level = shared.select("key", "id", "at", "ref", "ref_at", "n")
     for i in range(least_words):
@@ -247,7 +300,8 @@ def _matches(texts: DataFrame, least_words: int, kept: Kept) -> DataFrame:
         kept.drop(f"pairs{i}")
         if level.isEmpty():
             break
-        found += [pick(level), among(level)]
+        nth = F.row_number().over(Window.partitionBy("key", "id").orderBy("at")) - 1
+        found += [_placed(level.withColumns({"nth": nth, "part": F.lit(-1)})), among(level)]
     return reduce(DataFrame.unionByName, found).distinct()
 
 
@@ -259,29 +313,26 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float =
     rows = rows.select("*", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     same = kept.keep(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "same")
     one = rows.join(same, ["t1", "t2"]).where("doc_id <=> first").dropDuplicates(["t1", "t2"])
-    texts = kept.keep(one.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text", "t1", "t2", F.col("n").alias("copies")), "texts")
+    texts = one.select(F.monotonically_increasing_id().alias("id"), "doc_id", "t1", "t2", F.col("n").alias("copies"), "text")
+    texts = kept.keep(texts.mapInArrow(_hashed, "id long, doc_id long, t1 long, t2 long, copies long, raw binary"), "texts")
     # copies take the length of their first, so no text is shuffled for them
-    size = F.size(F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda w: w != "")).cast("long").alias("n")
+    size = F.expr("octet_length(raw) div 4").alias("n")
     whole = rows.select("doc_id", "t1", "t2").join(texts.where("copies > 1").select("t1", "t2", F.col("doc_id").alias("first"), size), ["t1", "t2"])
     whole = whole.where(F.col("n") >= least_words).select("doc_id", "first", "n")
     matches = _matches(texts, least_words, kept)
     found = matches.repartition("id", "ref").sortWithinPartitions("id", "ref", "at").mapInArrow(_chain, "id long, ref long, places array<int>, ref_places array<int>")
-    found = kept.keep(found.withColumn("chain", F.monotonically_increasing_id()), "chains")
+    found = kept.keep(found, "chains")
     kept.drop("shared", "hot", *(f"level{i}" for i in range(least_words)))
-    ask = lambda side, who, places: found.select(F.col(who).alias("id"), "chain", F.lit(side).alias("side"), F.greatest(F.col(places)[0] - MARGIN, F.lit(0)).alias("lo"), (F.element_at(places, -1) + K + MARGIN).alias("hi"))
-    asked = ask(0, "id", "places").unionByName(ask(1, "ref", "ref_places"))
-    # a text goes out once for every ASKS stretches, however many chains refer to it
-    parts = asked.groupBy("id").agg(F.ceil(F.count("*") / ASKS).alias("parts"))
-    asks = asked.join(parts, "id").groupBy("id", F.pmod(F.xxhash64("chain"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("asks"))
-    cut = texts.select("id", "text").join(asks, "id").select("text", "asks").mapInArrow(_cut, "chain long, side int, lo int, raw binary")
-    cut = kept.keep(cut, "cut")
-    side = lambda k, s: cut.where(F.col("side") == k).select("chain", F.col("lo").alias(f"lo_{s}"), F.col("raw").alias(f"raw_{s}"))
-    pairs = found.join(side(0, "a"), "chain").join(side(1, "b"), "chain").drop("chain")
-    spans = pairs.mapInArrow(_align, "id long, start long, end long, ref long, ref_start long, ref_end long, matches long")
+    # first the text's stretch goes along, then that of the text it refers to is cut beside it and both are aligned
+    low = lambda places: F.greatest(F.col(places)[0] - MARGIN, F.lit(0))
+    cut = lambda places, lo: F.expr(f"substring(raw, 4 * {lo} + 1, 4 * (element_at({places}, -1) + {K + MARGIN} - {lo}))")
+    pairs = found.withColumns({"lo_a": low("places"), "lo_b": low("ref_places")}).join(texts.select("id", "doc_id", "raw"), "id")
+    pairs = pairs.select("ref", "doc_id", "places", "ref_places", "lo_a", "lo_b", cut("places", "lo_a").alias("raw_a"))
+    pairs = pairs.join(texts.select(F.col("id").alias("ref"), F.col("doc_id").alias("ref_doc_id"), "raw"), "ref")
+    pairs = pairs.select("doc_id", "ref_doc_id", "places", "ref_places", "lo_a", "lo_b", "raw_a", cut("ref_places", "lo_b").alias("raw_b"))
+    spans = pairs.mapInArrow(partial(_align, least_words=least_words), "doc_id long, start long, end long, ref_doc_id long, ref_start long, ref_end long, matches long")
     share = F.col("matches") / F.greatest(F.col("end") - F.col("start"), F.col("ref_end") - F.col("ref_start"))
     spans = spans.withColumn("identity", share).where((F.col("end") - F.col("start") >= least_words) & (F.col("identity") >= identity))
-    names = texts.select("id", "doc_id")
-    spans = spans.join(names, "id").join(names.select(F.col("id").alias("ref"), F.col("doc_id").alias("ref_doc_id")), "ref")
     spans = spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "ref_doc_id", "ref_start", "ref_end", "matches", "identity")
     copies = whole.where("NOT doc_id <=> first").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n").alias("end_word"), F.col("first").alias("ref_doc_id"), F.lit(0).cast("long").alias("ref_start"), F.col("n").alias("ref_end"), F.col("n").alias("matches"), F.lit(1.0).alias("identity"))
     return spans.unionByName(copies)

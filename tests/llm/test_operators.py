@@ -295,6 +295,25 @@ def test_passages_whose_parts_stand_apart_in_other_texts(spark):
     assert set(pairs) <= {tuple(sorted((r.doc_id, r.ref_doc_id))) for r in got}
 
 
+def test_passages_of_words_that_repeat(spark):
+    rng = random.Random(37)
+    docs = [" ".join([sentence(rng, 60), *["is onhe"] * n, sentence(rng, 60)]) for n in (100, 150, 150, 120, 150, 60) * 2]
+    p = sentence(rng, 60)
+    docs += [" ".join([sentence(rng, 50), p, sentence(rng, 50)]), " ".join([sentence(rng, 50), p, sentence(rng, 200), p])]
+    rows = substring_dedup.passages(frame(spark, docs)).collect()
+    run = lambda i: {k for k, w in enumerate(docs[i].split()) if w in ("is", "onhe")}
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.doc_id, r.ref_doc_id), []).append(r)
+    assert max(map(len, groups.values())) <= 4, sorted(map(len, groups.values()))
+    linked = {i for pair in groups for i in pair}
+    assert linked == set(range(14))
+    for i in {r.doc_id for r in rows} & set(range(12)):
+        assert len(run(i) - {k for r in rows if r.doc_id == i for k in range(r.start_word, r.end_word)}) <= 20
+    both = next(v for k, v in groups.items() if set(k) == {12, 13})
+    assert len(both) == (2 if both[0].doc_id == 13 else 1)  # each copy refers to the one that is there
+
+
 def test_jaccard_join_with_null_ids(spark):
     rng = random.Random(14)
     base = sentence(rng, 80).split()
