@@ -8,7 +8,8 @@ long chain and not one passage for each repeat. A seed of at most FEW occurrence
 or to places of one that are far apart, the two together are a seed of the next level, whether or not changed words lie
 between them, and so on until none is left: texts that share a passage meet even if its parts stand in different earlier texts. The matches of two texts are chained by a Fenwick tree over the places in the first
 text: a chain ascends in both texts and pays for gaps. Chains are then aligned word by word between their seeds and
-extended at both ends, and passages of enough words and identity are returned.
+extended at both ends, and passages of enough words and identity are returned; a chain that is not alike enough as a whole
+is split at the gap that loses most words, so a passage is not lost with what stands beside it.
 
 A seed that more than one in HOT of a sample's texts have falls into PARTS parts by text; each part has a first text of its
 own, and the first texts of the parts are matched with the first of all. The sample only decides where rows are sorted.
@@ -211,6 +212,34 @@ def align(x: np.ndarray, y: np.ndarray, px: list[int], py: list[int]) -> tuple[i
     return px[0] - left, ax + right, py[0] - left, ay + right, matches + more + less
 
 
+def lost(x: np.ndarray, y: np.ndarray, px: list[int], py: list[int]) -> list[int]:
+    """Words that each gap between seeds leaves unmatched, about."""
+    out = []
+    for i, j, i2, j2 in zip(px, py, px[1:], py[1:], strict=False):
+        gx, gy = x[i + K : i2], y[j + K : j2]
+        equal = 0
+        if len(gx) and len(gy):
+            equal = int((gx == gy).sum()) if len(gx) == len(gy) else common_words(gx, gy)
+        out.append(max(abs((i2 - i) - (j2 - j)), max(len(gx), len(gy)) - equal))
+    return out
+
+
+def stretches(x: np.ndarray, y: np.ndarray, px: list[int], py: list[int], least_words: int, identity: float) -> Iterator[tuple[int, int, int, int, int]]:
+    """Passages of a chain as align() gives them: a chain that is not alike enough as a whole is split at the gap that loses most words."""
+    gaps, todo = None, [(0, len(px))]
+    while todo:
+        lo, hi = todo.pop()
+        got = align(x, y, px[lo:hi], py[lo:hi])
+        a, b, c, d, matches = got
+        if b - a >= least_words and matches >= identity * max(b - a, d - c):
+            yield got
+        elif hi - lo > 1:
+            gaps = lost(x, y, px, py) if gaps is None else gaps
+            if (most := max(gaps[lo : hi - 1])) > 0:
+                cut = gaps.index(most, lo, hi - 1) + 1
+                todo += [(cut, hi), (lo, cut)]
+
+
 def _reach(lone: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Words that chains of a single seed span with extended ends, as align() finds them; a side is (hashes, first, end, seed) by numbers of words."""
     spot, total = np.arange(MARGIN), np.full(len(lone), K)
@@ -227,7 +256,7 @@ def _reach(lone: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray, np.ndarra
     return total
 
 
-def _align(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
+def _align(batches: Iterator[pa.RecordBatch], least_words: int, identity: float) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "end", "ref_doc_id", "ref_start", "ref_end", "matches"]
     for batch in batches:
         out, single = [], pa.compute.list_value_length(batch.column("places")).to_numpy() == 1
@@ -242,8 +271,9 @@ def _align(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.R
             single[lone[_reach(lone, sides) >= least_words]] = False
         for r in batch.filter(pa.array(~single)).to_pylist():
             x, y = np.frombuffer(r["raw_a"], np.uint32), np.frombuffer(r["raw_b"], np.uint32)
-            a, b, c, d, m = align(x, y, [p - r["lo_a"] for p in r["places"]], [p - r["lo_b"] for p in r["ref_places"]])
-            out.append((r["doc_id"], a + r["lo_a"], b + r["lo_a"], r["ref_doc_id"], c + r["lo_b"], d + r["lo_b"], m))
+            px, py = [p - r["lo_a"] for p in r["places"]], [p - r["lo_b"] for p in r["ref_places"]]
+            for a, b, c, d, m in set(stretches(x, y, px, py, least_words, identity)):
+                out.append((r["doc_id"], a + r["lo_a"], b + r["lo_a"], r["ref_doc_id"], c + r["lo_b"], d + r["lo_b"], m))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(7)], names)
 
 
@@ -330,7 +360,7 @@ def passages(docs: DataFrame, least_words: int = LEAST_WORDS, identity: float =
     pairs = pairs.select("ref", "doc_id", "places", "ref_places", "lo_a", "lo_b", cut("places", "lo_a").alias("raw_a"))
     pairs = pairs.join(texts.select(F.col("id").alias("ref"), F.col("doc_id").alias("ref_doc_id"), "raw"), "ref")
     pairs = pairs.select("doc_id", "ref_doc_id", "places", "ref_places", "lo_a", "lo_b", "raw_a", cut("ref_places", "lo_b").alias("raw_b"))
-    spans = pairs.mapInArrow(partial(_align, least_words=least_words), "doc_id long, start long, end long, ref_doc_id long, ref_start long, ref_end long, matches long")
+    spans = pairs.mapInArrow(partial(_align, least_words=least_words, identity=identity), "doc_id long, start long, end long, ref_doc_id long, ref_start long, ref_end long, matches long")
     share = F.col("matches") / F.greatest(F.col("end") - F.col("start"), F.col("ref_end") - F.col("ref_start"))
     spans = spans.withColumn("identity", share).where((F.col("end") - F.col("start") >= least_words) & (F.col("identity") >= identity))
     spans = spans.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "ref_doc_id", "ref_start", "ref_end", "matches", "identity")

@@ -314,6 +314,17 @@ def test_passages_of_words_that_repeat(spark):
     assert len(both) == (2 if both[0].doc_id == 13 else 1)  # each copy refers to the one that is there
 
 
+def test_passages_beside_a_wide_gap(spark):
+    rng = random.Random(41)
+    docs = []
+    for _ in range(6):
+        p, q = sentence(rng, 70), sentence(rng, 70)
+        docs += [" ".join([p, sentence(rng, 50), q]), " ".join([p, sentence(rng, 55), q])]
+    got = substring_dedup.passages(frame(spark, docs)).collect()
+    assert Counter(tuple(sorted((r.doc_id, r.ref_doc_id))) for r in got) == {(2 * i, 2 * i + 1): 2 for i in range(6)}
+    assert all(r.identity >= 0.8 and 65 <= r.end_word - r.start_word <= 80 for r in got)
+
+
 def test_jaccard_join_with_null_ids(spark):
     rng = random.Random(14)
     base = sentence(rng, 80).split()
