@@ -397,7 +397,10 @@ CAPS = "c AS (SELECT *, lead(text) OVER (PARTITION BY item ORDER BY i) AS follow
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return _words_of(table(spark, sf_dir, "documents").where("text IS NOT NULL"))
+
+
+def _words_of(d: DataFrame) -> DataFrame:
     rows = d.select(F.col("doc_id").alias("item"), F.posexplode(F.split("text", r"[ \t\n\r]+")).alias("i", "text"))
     return rows.select("item", F.lit("body").alias("segment_id"), F.lit(0).alias("sent"), "i", "text", F.col("i").alias("start"), F.lit(True).alias("ws"), F.when(F.col("text").rlike("^[A-Z][a-z]+$"), "PROPN").otherwise("X").alias("pos"), F.lit("").alias("tag"))
 
@@ -429,16 +432,37 @@ def common_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions.without_common_words(found, words, names).select(F.col("item").alias("doc_id"), F.col("text").alias("word")).distinct()
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised words as mentions with a label by place; every fourth with a capitalised word after it is a full name."""
-    words = _words(spark, sf_dir)
+def _followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, i, text, follow): capitalised words and the word after each, cut from the text of one document, so that only they
+    leave it. An id that several documents have is one sequence, as in the SQL: only its words are sorted in a window."""
+    read, word = table(spark, sf_dir, "documents").select("doc_id", "text"), F.col("text")
+    d = read.where("text IS NOT NULL")
+    cap = word.between("A", "[") & word.rlike(r"^[A-Z][a-z]+\z")  # $ would let a line separator end the word
+
+    def alone(d: DataFrame) -> DataFrame:
+        w = d.select(F.col("doc_id").alias("item"), F.split("text", r"[ \t\n\r]+").alias("w"))
+        rows = w.select("item", F.posexplode(F.arrays_zip(F.col("w").alias("text"), F.slice("w", 2, F.size("w")).alias("follow"))).alias("i", "x"))
+        return rows.select("item", "i", "x.text", "x.follow").where(cap)
+
+    repeated = read.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    if repeated.isEmpty():
+        return alone(d)
+    repeated, same = mentions.checked(repeated), F.col("doc_id").eqNullSafe(F.col("id"))
+    words = _words_of(d.join(repeated, same, "left_semi"))
     follow = F.lead("text").over(Window.partitionBy("item").orderBy("i"))
-    rows = words.withColumn("follow", follow).where("pos = 'PROPN'")
-    full = F.col("follow").rlike("^[A-Z][a-z]+$") & (F.col("i") % 4 == 0)
+    return alone(d.join(repeated, same, "left_anti")).unionByName(words.select("item", "i", "text", follow.alias("follow")).where(cap))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words as mentions with a label by place; every fourth with a capitalised word after it is a full name. They are
+    written once, since queries read them several times and the texts are far larger."""
+    pair = F.col("follow").rlike(r"^[A-Z][a-z]+\z") & (F.col("i") % 4 == 0)
+    rows = store.Scratch(spark)(_followed(spark, sf_dir).withColumn("follow", F.when(pair, F.col("follow"))), "capitalised")
+    full = F.col("follow").isNotNull()
     name = F.when(full, F.concat_ws(" ", "text", "follow")).otherwise(F.col("text"))
     label = F.when(full, "PERSON").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("PERSON", "ORG", "GPE", "ORG", "FAC")]), (F.col("i") % 5 + 1).cast("int")))
     none = F.lit(None).cast("string")
-    return rows.select("item", "segment_id", "sent", F.col("i").alias("first"), (F.col("i") + F.when(full, 2).otherwise(1)).alias("last"), F.col("i").alias("start"), F.col("i").alias("end"), name.alias("text"), F.lower(name).alias("surface"), label.alias("label"), none.alias("canonical"), none.alias("entity_type"), none.alias("resolution"))
+    return rows.select("item", F.lit("body").alias("segment_id"), F.lit(0).alias("sent"), F.col("i").alias("first"), (F.col("i") + F.when(full, 2).otherwise(1)).alias("last"), F.col("i").alias("start"), F.col("i").alias("end"), name.alias("text"), F.lower(name).alias("surface"), label.alias("label"), none.alias("canonical"), none.alias("entity_type"), none.alias("resolution"))
 
 
 LABELLED = WORDS + ", " + CAPS + """, q AS (SELECT item, i, coalesce(regexp_matches(follow, '^[A-Z][a-z]+$'), false) AND i % 4 = 0 AS whole, text, follow FROM c WHERE regexp_matches(text, '^[A-Z][a-z]+$')),
@@ -460,7 +484,7 @@ bare AS (SELECT DISTINCT item, surface FROM m WHERE NOT whole AND i % 5 IN (0, 1
 SELECT bare.item AS doc_id, bare.surface, CASE WHEN n = 1 THEN canonical END AS canonical, CASE WHEN n IS NULL THEN 'own' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM bare LEFT JOIN o ON bare.item = o.item AND bare.surface = o.surface""")
 def surname_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _labelled(spark, sf_dir).where("label IN ('PERSON', 'ORG') AND length(text) > 1")
-    names = spark.createDataFrame([], "key string, canonical string, entity_type string")
+    names = spark.range(1).where(F.lit(False)).select(*[F.lit("").alias(c) for c in ("key", "canonical", "entity_type")])
     first = identity.looked_up(found, names)
     got, _ = identity.resolved(first, identity.name_index(first))
     state = F.when(F.col("entity_type").isNull(), "ambiguous").when(F.col("resolution") == "surname", "resolved").otherwise("own")
